@@ -1,0 +1 @@
+"""Every program of this engine is a batch job; there is no streaming operator."""
