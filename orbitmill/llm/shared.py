@@ -100,13 +100,17 @@ class Words:
         inside = self.text != 32
         before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
-        edge = off[(off > 0) & (off < len(inside))]
+        edge = self.edge = off[(off > 0) & (off < len(inside))]
         before[edge] = False
         after[edge - 1] = False
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, off)
 
+    def apart(self) -> bytes:
+        """The text with a blank between rows."""
+        return np.insert(self.text, self.edge, 32).tobytes()
+
     def hashes(self, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
         return span_hashes(self.text, self.start, self.end, base)
 
