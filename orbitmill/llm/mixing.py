@@ -6,15 +6,14 @@ which the whole part is certain and the fraction is its inclusion probability.
 The cube method decides the fractions: it moves the vector of probabilities
 along directions of the constraint matrix's null space, which keeps the
 expected number of documents and of words, until every unit but a few is at 0
-or 1 (flight); the last ones are decided with the document constraint, then the
-word constraint, dropped (landing). Large documents fly first, so that the last
-ones are small.
+or 1 (flight). The last ones and some small units kept back for them are a landing
+problem of at most ``LANDING`` + 2 units, solved by comparing all outcomes.
 
 Flights run in blocks of about ``BLOCK`` documents of one source, dealt by a
 hash of the document, so no source is gathered in one task; at most two
 documents of a block stay undecided and meet in blocks of the next level, until
 one block per source is left and lands there. A source's taken words thus miss
-its target by about the size of its last document. Random steps come from
+its target by less than a small document. Random steps come from
 the seed and the block's number: reruns agree whatever the partitioning.
 
 Defined results: null text has size 0; a null source is a source of its own,
@@ -39,6 +38,8 @@ SEED = 20_240_229
 MOST_TIMES = 3
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
+#: Units of a source kept back for its landing.
+LANDING = 10
 _TINY = 1e-9
 
 UNIT = "source string, doc_id long, size long, whole int, chance double, block long"
@@ -72,8 +73,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return shared.select("source", "n_docs", "source_size", F.least(F.col("limit_"), F.coalesce(F.col("common") * F.col("weight"), F.col("limit_"))).alias("target"))
 
 
-def fly(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Moves probabilities until at most two (with ``land``: none) are strictly between 0 and 1."""
+def fly(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Moves probabilities, in order, until at most two are strictly between 0 and 1."""
     p = chance.tolist()
     x = [float(s) for s in size]
     todo = [i for i, v in enumerate(p) if _TINY < v < 1 - _TINY]
@@ -90,10 +91,6 @@ def fly(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bo
                 u = [1.0, -1.0, 0.0]
         elif len(active) == 2 and x[active[0]] == x[active[1]]:
             u = [1.0, -1.0]
-        elif len(active) == 2 and land:
-            u = [x[active[1]], -x[active[0]]]
-        elif len(active) == 1 and land:
-            u = [1.0]
         else:
             break
         up = min((1 - p[i]) / v if v > 0 else -p[i] / v for i, v in zip(active, u, strict=True) if v)
@@ -106,18 +103,40 @@ def fly(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bo
     return np.array([0.0 if v <= _TINY else 1.0 if v >= 1 - _TINY else v for v in p])
 
 
-def _flight(seed: int, level: int, land: bool):
+def land(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flies all units but ``LANDING`` small ones, then decides these and what the flight left.
+
+    All outcomes of the last units are compared; the one nearest to the
+    expected words, then documents, is taken.
+    """
+    chance = np.where(chance <= _TINY, 0.0, np.where(chance >= 1 - _TINY, 1.0, chance))
+    open_ = np.flatnonzero((chance > 0) & (chance < 1))
+    last = open_[np.argsort(size[open_], kind="stable")[:LANDING]]
+    flying = np.setdiff1d(np.arange(len(chance)), last)
+    out = chance.copy()
+    out[flying] = fly(chance[flying], size[flying], rng)
+    left = np.flatnonzero((out > 0) & (out < 1))
+    if len(left):
+        choice = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        words = np.abs((choice - out[left]) @ size[left].astype(float))
+        docs = np.abs((choice - out[left]).sum(axis=1))
+        cost = words + 0.1 * (1 + size[left].mean()) * docs
+        out[left] = choice[int(np.argmin(cost))]
+    return out
+
+
+def _flight(seed: int, level: int, landing: bool):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         doc = rows.column("doc_id").to_numpy(zero_copy_only=False)
         size = rows.column("size").to_numpy()
         chance = rows.column("chance").to_numpy()
         known = np.nan_to_num(doc.astype(float), nan=-1.0) if doc.dtype != np.int64 else doc
-        order = np.lexsort((chance, known, -size))  # the largest first: those left for the landing are small
+        order = np.lexsort((chance, size, known))
         source = key[0].as_py()
         name = int.from_bytes(("\x00" if source is None else source).encode("utf-8", "surrogatepass"), "big")
         rng = np.random.default_rng([seed, level, key[1].as_py(), name])
         moved = np.empty(len(chance))
-        moved[order] = fly(chance[order], size[order], rng, land)
+        moved[order] = (land if landing else fly)(chance[order], size[order], rng)
         return rows.set_column(rows.schema.get_field_index("chance"), "chance", pa.array(moved))
 
     return run
@@ -138,10 +157,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     wide = max((r[0] for r in plan.agg(F.max("blocks")).collect() if r[0]), default=1)
     level, decided, todo = 0, [], units
     while True:
-        land = wide == 1
-        flown = materialise(todo.groupBy("source", "block").applyInArrow(_flight(seed, level, land), UNIT), f"mix-flight-{level}")
+        last = wide == 1
+        flown = materialise(todo.groupBy("source", "block").applyInArrow(_flight(seed, level, last), UNIT), f"mix-flight-{level}")
         decided.append(flown.where(sure))
-        if land:
+        if last:
             break
         per = block // 2
         wide = -(-wide // per)
