@@ -6,14 +6,14 @@ which the whole part is certain and the fraction is its inclusion probability.
 The cube method decides the fractions: it moves the vector of probabilities
 along directions of the constraint matrix's null space, which keeps the
 expected number of documents and of words, until every unit but a few is at 0
-or 1 (flight). The last ones and some small units kept back for them are a landing
+or 1 (flight). The last ones and some units of all sizes kept back for them are a landing
 problem of at most ``LANDING`` + 2 units, solved by comparing all outcomes.
 
 Flights run in blocks of about ``BLOCK`` documents of one source, dealt by a
 hash of the document, so no source is gathered in one task; at most two
 documents of a block stay undecided and meet in blocks of the next level, until
 one block per source is left and lands there. A source's taken words thus miss
-its target by less than a small document. Random steps come from
+its target by a few words only, where it has units enough. Random steps come from
 the seed and the block's number: reruns agree whatever the partitioning.
 
 Defined results: null text has size 0; a null source is a source of its own,
@@ -39,7 +39,7 @@ MOST_TIMES = 3
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: Units of a source kept back for its landing.
-LANDING = 10
+LANDING = 12
 _TINY = 1e-9
 
 UNIT = "source string, doc_id long, size long, whole int, chance double, block long"
@@ -104,14 +104,15 @@ def fly(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nd
 
 
 def land(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flies all units but ``LANDING`` small ones, then decides these and what the flight left.
+    """Flies all units but ``LANDING`` of all sizes, then decides these and what the flight left.
 
     All outcomes of the last units are compared; the one nearest to the
     expected words, then documents, is taken.
     """
     chance = np.where(chance <= _TINY, 0.0, np.where(chance >= 1 - _TINY, 1.0, chance))
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
-    last = open_[np.argsort(size[open_], kind="stable")[:LANDING]]
+    ranked = open_[np.argsort(size[open_], kind="stable")]
+    last = ranked[np.unique(np.linspace(0, len(ranked) - 1, LANDING).astype(int))] if len(ranked) else ranked
     flying = np.setdiff1d(np.arange(len(chance)), last)
     out = chance.copy()
     out[flying] = fly(chance[flying], size[flying], rng)
