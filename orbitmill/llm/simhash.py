@@ -128,14 +128,15 @@ def simhash_components(documents: DataFrame, distance: int = DISTANCE, width: in
 
 
 def keep_first(documents: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """The documents, all their columns, one of each component: that with the least doc_id (of equal rows one).
+    """The documents, all their columns, one of each component: that with the least doc_id.
 
-    Documents without a doc_id are kept.
+    Of rows that share a doc_id one at most stays. Documents without a doc_id are kept.
     """
-    found = simhash_components(documents, distance, width)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    columns = documents.columns
-    first = documents.join(kept, "doc_id", "left_semi")
-    repeated = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    once = first.join(repeated, "doc_id", "left_anti").unionByName(first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return once.unionByName(documents.where("doc_id is null")).select(*columns)
+    found = materialise(simhash_components(documents, distance, width).select("doc_id", "component_id").where("doc_id is not null"), "simhash-found")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("n > 1")
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    if repeated.isEmpty():
+        return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    one = documents.join(repeated.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    others = documents.join(gone.unionByName(repeated.select("doc_id")), "doc_id", "left_anti")
+    return others.select(*documents.columns).unionByName(one.select(*documents.columns))
