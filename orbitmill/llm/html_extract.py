@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
 from .url_filter import host_and_path
 
 #: Winning paths kept for a host.
@@ -267,5 +268,6 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     host, _ = host_and_path(F.col("url"))
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"), host.alias("host"))
-    joined = known.join(host_paths(pages), "host", "left").select("page_id", "url", "html", "winners")
+    # the hosts' paths as a table of their own, so that a hot host's pages can be split among join tasks
+    joined = known.join(materialise(host_paths(pages), "host-paths"), "host", "left").select("page_id", "url", "html", "winners")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
