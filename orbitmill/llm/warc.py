@@ -1,8 +1,8 @@
 """WARC archives whose records are compressed one by one with a shared Zstandard dictionary.
 
 The dictionary is trained on a bounded sample of the records to be archived
-(``SAMPLE`` pages, the first by a hash of their id, of at most ``SAMPLE_BYTES``
-each). Every archive begins with a skippable frame (magic 0x184D2A5D) that holds
+(about ``SAMPLE`` pages chosen by a hash, twice as many at most, of at most
+``SAMPLE_BYTES`` each). Every archive begins with a skippable frame (magic 0x184D2A5D) that holds
 the dictionary, itself compressed; each record is one frame after it. Pages are
 written where they lie: a task writes its pages to archives of about
 ``ARCHIVE_BYTES`` of payload in the shared scratch folder, under names of its
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch_path, utf8
+from .shared import materialise, scratch_path, utf8
 
 MAGIC = 0x184D2A5D
 REVISIT_BYTES = 1000
@@ -190,11 +190,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), utf8("html").alias("html"))
     n = F.octet_length("html")
-    sample = own.where(n <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(SAMPLE).collect()
+    # about SAMPLE pages below a cut of their hashes; the limit holds where many are alike
+    cut = F.pmod(F.xxhash64("page_id", "html"), F.lit(max(1, own.count()))) < SAMPLE
+    sample = own.where((n <= SAMPLE_BYTES) & cut).limit(2 * SAMPLE).collect()
     dictionary = train([record(r["page_id"], r["url"], bytes(r["html"]), None) for r in sample]).as_bytes()
     keyed = own.withColumn("digest", F.when(n >= REVISIT_BYTES, F.concat(F.sha1("html"), n.cast("string"))))
     repeated = keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and response is not null")
-    judged = keyed.join(repeated.select("digest", "response"), "digest", "left").select("page_id", "url", "html", "response")
+    # a table of its own, so that the copies of a page can be split among join tasks
+    judged = keyed.join(materialise(repeated.select("digest", "response"), "repeated-pages"), "digest", "left").select("page_id", "url", "html", "response")
     names = judged.mapInArrow(_write(f"{folder}/archives", dictionary), "path string, n_records long").where("path is not null")
     names.write.parquet(f"{folder}/names")
     return spark.read.schema("path string, n_records long").parquet(f"{folder}/names")
