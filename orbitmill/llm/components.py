@@ -26,7 +26,8 @@ def chunk_pairs(members: DataFrame, keys: list[str], member: str, chunk: int = C
     A bucket of m members in c chunks gives m * c rows; buckets of one are dropped.
     ``side`` is the row's own chunk.
     """
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("bucket_size")).where("bucket_size > 1")
+    # as a table of its own, so that a hot bucket's members can be split among join tasks
+    sizes = materialise(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("bucket_size")).where("bucket_size > 1"), "bucket-sizes")
     held = members.join(sizes, keys)
     n = F.ceil(F.col("bucket_size") / F.lit(chunk)).cast("int")
     dealt = held.withColumn("n_chunks", n).withColumn("side", F.pmod(F.xxhash64(F.lit("chunk"), F.col(member)), F.col("n_chunks").cast("long")).cast("int"))
@@ -76,8 +77,9 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         closer = label.join(near, label["node"] == near["a"], "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("mid"))
+        closer = materialise(closer, f"{tag}-near")
         # hook: the old label's own label also falls to the least that its members have seen
-        hooked = closer.groupBy(F.col("was").alias("root")).agg(F.min("mid").alias("hook"))
+        hooked = materialise(closer.groupBy(F.col("was").alias("root")).agg(F.min("mid").alias("hook")), f"{tag}-hooks")
         upper = closer.join(hooked, closer["mid"] == hooked["root"], "left").select("node", "was", F.least("mid", F.coalesce("hook", "mid")).alias("component"))
         step = upper.join(hooked.select(F.col("root").alias("r2"), F.col("hook").alias("h2")), upper["was"] == F.col("r2"), "left").select("node", F.least("component", F.coalesce("h2", "component")).alias("component"), F.col("was"))
         after = materialise(step, f"{tag}-labels")

@@ -185,7 +185,8 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE) -> DataFram
         .join(counts, F.col("rep") == F.col("r"), "left")
         .select("rep", "least", F.coalesce("component", "rep").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    least = group.groupBy("root").agg(F.min("least").alias("component_id"))
+    group = materialise(group, "vector-groups")
+    least = materialise(group.groupBy("root").agg(F.min("least").alias("component_id")), "vector-least")
     named = group.join(least, "root").select("rep", "n_links", "component_id")
     linked = usable.select("vec_id", "rep").join(named, "rep").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce("usable", F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -122,7 +122,8 @@ def simhash_components(documents: DataFrame, distance: int = DISTANCE, width: in
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-classes")
     by_print = components(close_links(classes.select("fp", F.col("fp").alias("rep")), distance), "simhash")
     group = classes.join(by_print, classes["fp"] == by_print["node"], "left").select(classes["fp"], "least", F.coalesce("component", classes["fp"]).alias("root"))
-    least = group.groupBy("root").agg(F.min("least").alias("component_id"))
+    group = materialise(group, "simhash-groups")
+    least = materialise(group.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = group.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
