@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER
+from .shared import LOWER, materialise
 
 MOST_BLOCKS = 1 << 18
 MOST_RULES = 100_000
@@ -107,6 +107,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow") ->
     possible = candidates.withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block").where(_bits(F.col("key")).bitwiseAND(F.col("word")) == _bits(F.col("key")))
     fits = possible.join(exact, possible["key"] == exact["rule"])
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "verdict", "rule")).alias("best")).select(F.col("host").alias("h"), F.col("path").alias("p"), "best")
+    # a table of its own, so that the pages of a hot URL can be split among join tasks
+    best = materialise(best, "url-rules")
     return urls.join(best, (urls["host"] == best["h"]) & (urls["path"] == best["p"]), "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(unlisted)).alias("verdict")
     )
