@@ -152,7 +152,7 @@ def lanczos(graph: Graph, m: int = 50, seed: int | None = 42, direction: str = "
         x = space.combined([(1.0 / size if size else 1.0, x)])
         noise = (F.col("score") < 0) & (F.col("score") > -1e-6)
         scores = space.scores(x).withColumn("score", F.when(noise, 0.0).otherwise(F.col("score")))
-        residual = abs(beta[len(alpha) - 1] * y[-1])
+        residual = float(abs(beta[len(alpha) - 1] * y[-1]))
         return Result(scores, done or residual <= 1e-6, len(alpha), residual, value, space.n, time.perf_counter() - began, alpha, beta)
     finally:
         space.close()
