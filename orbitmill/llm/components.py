@@ -44,19 +44,16 @@ def forest(n: int, links: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     low = np.arange(n)
     a, b = links
     while len(a):
-        least = np.minimum(low[a], low[b])
-        np.minimum.at(low, a, least)
-        np.minimum.at(low, b, least)
-        low = low[low]
+        # labels are roots here: the greater of a link's two is hooked to the lesser
+        one, other = low[a], low[b]
+        least = np.minimum(one, other)
+        np.minimum.at(low, one, least)
+        np.minimum.at(low, other, least)
+        while not np.array_equal(up := low[low], low):
+            low = up
         keep = low[a] != low[b]
         a, b = a[keep], b[keep]
-        # what has been hooked hands on its new root
-        np.minimum.at(low, low, low[low])
-    while True:
-        up = low[low]
-        if np.array_equal(up, low):
-            return low
-        low = up
+    return low
 
 
 def linked_pairs(chunked: DataFrame, keys: list[str], found: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
