@@ -132,7 +132,7 @@ def _write(folder: str, dictionary: bytes):
                         out.close()
                         counts.append(n)
                     names.append(f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):04d}.warc.zst")
-                    out, size, n = store.open_output_stream(names[-1]), 0, 0
+                    out, size, n = store.open_output_stream(names[-1], compression=None), 0, 0
                     out.write(first)
                 payload, own, to = html.as_py(), page_id.as_py(), response.as_py()
                 out.write(pack.compress(record(own, url.as_py(), payload, to if to != own else None)))
@@ -172,7 +172,7 @@ def _read(folder: str, batch_rows: int = 1000):
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)], names)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with store.open_input_stream(path) as source:
+                with store.open_input_stream(path, compression=None) as source:
                     rows = []
                     for data in frames(source):
                         rows.append(parse(data))
