@@ -36,6 +36,8 @@ from .url_filter import host_and_path
 WINNERS = 4
 #: A container above another one counts its text so many times for each level between.
 FADE = 0.9
+#: Containers nested deeper are part of the one above.
+DEPTH = 64
 SEMANTIC = 1.2
 
 # Element names of the HTML standard.
@@ -46,7 +48,7 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("body caption dd dt html legend li summary tbody td tfoot th thead tr".split())
-CONTAINER = frozenset("article body div main section td center".split())
+CONTAINER = frozenset("article div main section td center".split())
 SEMANTIC_TAGS = frozenset("article main".split())
 DROPPED = frozenset(
     "head script style title noscript template nav header footer aside form iframe textarea select button input svg canvas object dialog menu search audio video noembed noframes xmp".split()
@@ -102,9 +104,9 @@ class Page:
         self.blocks: list[tuple[str, int, tuple[str, ...], bool]] = []
         self._text: list[str] = []
         self._linked = 0
-        self.stack: list[tuple[str, bool, str | None]] = []  # tag, junk at or above, path if a container
-        self._paths: tuple[str, ...] = ()
-        self._junk = False
+        self.stack: list[tuple[str, bool, str | None, bool]] = []  # tag, junk at or above, path if a container, drops text within a block
+        self._paths: tuple[str, ...] = ("body",)  # which is there even if its tag isn't
+        self._junk = self._mute = False
         self._links = 0
         at = 0
         search = TOKEN.search
@@ -133,6 +135,8 @@ class Page:
         self._flush()
 
     def _say(self, text: str, raw: bool = False) -> None:
+        if self._mute:
+            return
         if "&" in text and not raw:
             text = entities.unescape(text)
         self._text.append(text)
@@ -149,8 +153,9 @@ class Page:
     def _settle(self) -> None:
         """What holds for the text that follows, from the stack."""
         self._junk = bool(self.stack) and self.stack[-1][1]
-        self._paths = tuple(p for _, _, p in self.stack if p)
-        self._links = sum(t == "a" for t, _, _ in self.stack)
+        self._mute = any(m for _, _, _, m in self.stack)
+        self._paths = ("body", *(p for _, _, p, _ in self.stack if p))
+        self._links = sum(t == "a" for t, _, _, _ in self.stack)
 
     def _pop_to(self, k: int) -> None:
         del self.stack[k:]
@@ -180,22 +185,21 @@ class Page:
         if tag in VOID:
             return
         attrs = _attrs(raw) if raw and not raw.isspace() else {}
-        junk = self._junk or _is_junk(tag, attrs)
-        if junk != self._junk:
-            self._flush()
+        own = _is_junk(tag, attrs)
+        mute = own and tag not in BLOCK
+        junk = self._junk or (own and not mute)
         path = None
-        if not junk and (tag in CONTAINER or tag == "html"):
-            above = next((p for _, _, p in reversed(self.stack) if p), "")
-            path = f"{above}>{_step(tag, attrs)}" if above and tag not in ("html", "body") else _step(tag, {} if tag in ("html", "body") else attrs)
-        self.stack.append((tag, junk, path))
+        if not junk and tag in CONTAINER and len(self._paths) < DEPTH:
+            path = f"{self._paths[-1]}>{_step(tag, attrs)}"
+        self.stack.append((tag, junk, path, mute))
         self._settle()
 
     def _end(self, tag: str) -> None:
         block = tag in BLOCK
         for k in range(len(self.stack) - 1, -1, -1):
-            t, junk, _ = self.stack[k]
+            t = self.stack[k][0]
             if t == tag:
-                if block or junk != (k > 0 and self.stack[k - 1][1]):
+                if block:
                     self._flush()
                 self._pop_to(k)
                 return
