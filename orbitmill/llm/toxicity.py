@@ -65,10 +65,10 @@ class Vocabulary:
         start, size = words.start[at], words.end[at] - words.start[at]
         self.word = (self.hashes >> U64(64 - WORD_BITS)).astype(np.int64)
         self.embed = (self.hashes & U64((1 << EMBED_BITS) - 1)).astype(np.int64)
-        # every distinct word between blanks
+        # every distinct word between blanks, with more of them where a gram needs room
         room = size + 2
         edge = np.zeros(len(room) + 1, np.int64)
-        np.cumsum(room, out=edge[1:])
+        np.cumsum(np.maximum(room, max(GRAMS)), out=edge[1:])
         text = np.full(edge[-1], 32, np.uint8)
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         text[np.repeat(edge[:-1] + 1, size) + inside] = words.text[np.repeat(start, size) + inside]
