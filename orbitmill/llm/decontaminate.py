@@ -33,7 +33,7 @@ MOST_WINDOWS = 200_000
 #: Bytes of text handled at once.
 PIECE = 4 << 20
 
-HITS = "doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+HITS = "doc_id long, text_key long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 
 
 class WindowSet:
@@ -84,7 +84,7 @@ def windows_of(items: list[tuple[str, bytes]], width: int = WIDTH) -> dict[int,
 def _scan(sets: list[WindowSet]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = packed(batch.column(1))
+            buf, off = packed(batch.column(2))
             for a, b in slices(off, PIECE):
                 words = Words(buf[off[a] : off[b]], off[a : b + 1] - off[a], ALNUM)
                 hashes = words.hashes()
@@ -99,12 +99,13 @@ def _scan(sets: list[WindowSet]):
                 spans = [_merged(marks[r]) if r in marks else [] for r in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a).cast(pa.int64()),
+                        batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
                         pa.array(np.diff(words.first).astype(np.int64)),
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
                         pa.array([sorted(items.get(r, ())) for r in range(b - a)], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "n_words", "spans", "items"],
+                    ["doc_id", "text_key", "n_words", "spans", "items"],
                 )
 
     return run
@@ -137,8 +138,8 @@ def benchmark_items(benchmark: DataFrame) -> Iterator[tuple[str, bytes]]:
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST_WINDOWS) -> DataFrame:
-    """One row per document: its number of words, the hit spans of words, the items found."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("t"))
+    """One row per document: a hash of its text, its number of words, the hit spans of words, the items found."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), utf8("text").alias("t"))
     scans = [docs.mapInArrow(_scan(sets), HITS) for sets in _sliced(windows_of(list(benchmark_items(benchmark)), width), most)]
     if len(scans) == 1:
         return scans[0]
@@ -147,13 +148,13 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, mo
     every = numbered[0]
     for s in numbered[1:]:
         every = every.unionByName(s)
-    joined = every.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    joined = every.groupBy("row", "doc_id", "text_key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     merged = F.aggregate(
         F.array_sort("spans"),
         F.expr("cast(array() as array<struct<first:int,last:int>>)"),
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(done, F.array(s))),
     )
-    return joined.select("doc_id", "n_words", merged.alias("spans"), "items")
+    return joined.select("doc_id", "text_key", "n_words", merged.alias("spans"), "items")
 
 
 def n_hit() -> Column:
@@ -183,8 +184,8 @@ def _judge(sets: list[WindowSet]):
         scan = _scan(sets)
         for batch in batches:
             flags: list[bool] = []
-            for part in scan(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(batch.num_columns - 1)], ["doc_id", "t"])])):
-                for n, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for part in scan(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), batch.column(batch.num_columns - 1)], ["doc_id", "text_key", "t"])])):
+                for n, spans in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     hit = sum(s["last"] - s["first"] for s in spans)
                     flags.append(hit > 0 and 20 * hit >= n)
             keep = pa.array([not x for x in flags], pa.bool_())
@@ -197,12 +198,15 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = W
     """The documents, all their columns, without those that the benchmark contaminates.
 
     With more than one slice of windows, whether a document is contaminated
-    depends on the hits of all slices together; then the ids found are joined.
+    depends on the hits of all slices together; then those found are joined by id
+    and a hash of their text.
     """
     slices_ = list(_sliced(windows_of(list(benchmark_items(benchmark)), width), most))
     if len(slices_) > 1:
-        bad = find_hits(documents, benchmark, width, most).withColumn("n_hit", n_hit()).where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
-        return documents.join(bad, "doc_id", "left_anti")
+        bad = find_hits(documents, benchmark, width, most).withColumn("n_hit", n_hit()).where(is_contaminated(F.col("n_hit"), F.col("n_words")))
+        bad = materialise(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct(), "contaminated")
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_key"))
+        return documents.join(bad, same, "left_anti")
     with_bytes = documents.select("*", utf8("text").alias("__text_bytes"))
     return with_bytes.mapInArrow(_judge(slices_[0]), documents.schema)
 
