@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import scratch_path
+
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
-_own_dirs: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset and the master is local (tests), a temporary folder serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        held = tempfile.TemporaryDirectory(prefix="orbitmill-")
-        atexit.register(held.cleanup)
-        _own_dirs[app] = held.name
-    return _own_dirs[app]
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -44,16 +21,43 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     This cuts lineage, keeps a costly scan from being repeated and survives the
     loss of executors.
     """
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    return _written(df, scratch_path(df.sparkSession, tag))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder by Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+class Scratch:
+    """Tables that are needed only until a result of theirs is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, tag))
+        return _written(df, self.paths[-1])
+
+    def drop(self) -> None:
+        """Deletes the tables, by Spark's own file system layer."""
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths = []
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Hands so many rows at a time to Python, for jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def utf8(column: str) -> Column:
@@ -130,7 +134,7 @@ class Words:
         return row[:n] == row[k - 1 : k - 1 + n]
 
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -6,21 +6,30 @@ cross documents.
 
 Every window of ``LENGTH`` bytes is assigned to the least hash among the grams
 of ``GRAM`` bytes in it, so equal windows are assigned alike wherever they
-stand. Neighbouring windows with the same hash make a segment.
-
-1. A prefilter of fixed size, a bitmap of hashes that occur in two documents or
-   more, is made from packed hashes, four bytes each. It only spares work: a
-   wrong hit costs time, and a hash that repeats is never missed.
-2. Segments whose hash may repeat are written, and equal segments of a hash are
-   put together (before the shuffle), with their least document.
-3. Segments meet in parts by their hash; each part's distinct segments are
-   suffix-sorted in two stages, and windows with an adjacent common prefix of
-   ``LENGTH`` bytes share their least document. A hash with more than
+stand. Neighbouring windows with the same hash make a segment, and a run of
+segments up to the next one whose hash ends in ``CUT_BITS`` zeros a stretch.
+
+1. Every distinct stretch is noted with its least document in a bitmap of fixed
+   size. A stretch and document that aren't noted are a copy of an earlier
+   document's: it is removed from the start, which settles most of what copies
+   and near copies share. A chance hit in the bitmap only leaves it to step 3.
+2. A second bitmap holds the hashes that occur in two documents or more among
+   the segments left, made from packed hashes, four bytes each. It only spares
+   work: a wrong hit costs time, a hash that repeats is never missed.
+3. Segments left whose hash may repeat are written; equal ones are put together
+   with their least document, as narrow rows. Only those hashes that have
+   several distinct segments need their bytes: these meet in parts by hash, each
+   part is suffix-sorted in two stages, and windows with an adjacent common
+   prefix of ``LENGTH`` bytes share their least document. A hash with more than
    ``MOST_SEGMENTS`` distinct segments is left out of the parts, and its windows
    meet by their own bytes instead.
 4. Ranges to remove go back to their documents; only the texts of documents
    that may have some are shuffled.
 
+The bitmaps have 2**BITS bits whatever the input. Where it has far more distinct
+stretches or hashes than bits, they spare less work and the result is the same.
+Equal stretches and segments are known by two 64-bit hashes.
+
 Defined results: null text is an empty text; texts of under LENGTH bytes are
 kept whole; a null doc_id counts as larger than all others; rows that share a
 doc_id don't remove from each other; equal rows come out once each; an empty
@@ -37,19 +46,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, materialise, mixed, packed, powers, utf8
+from .shared import U64, Scratch, arrow_rows, materialise, mixed, packed, powers, utf8
 from .suffix_sort import least_by_window
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text scanned at once; a longer text is cut, its windows are not.
-PIECE = 2 << 20
+PIECE = 1 << 19
+#: A stretch ends before a segment whose hash ends in so many zeros.
+CUT_BITS = 3
 #: Bits of the prefilter's bitmap: 32 MB.
 BITS = 28
+#: Rows handed to Python at a time.
+ROWS = 1000
 #: Bytes of segments sorted in one part.
 PART_BYTES = 4 << 20
 MOST_SEGMENTS = 20_000
 LAST = (1 << 63) - 1
-_BASE = 0x5851F42D4C957F2D
+_BASE, _BASE_2 = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 
 
 class Segments:
@@ -79,6 +92,26 @@ class Segments:
         self.hash, self.row, self.start = value[first], owner[first], place[first]
         self.size = np.diff(np.append(first, len(place))) + length - 1
 
+    def stretches(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first byte, length in bytes and two hashes of every stretch, and the stretch of each segment."""
+        if not len(self.hash):
+            return self.row, self.start, self.size, self.hash, self.hash, self.row
+        new = np.ones(len(self.hash), bool)
+        new[1:] = (self.row[1:] != self.row[:-1]) | ((self.hash[1:] & U64((1 << CUT_BITS) - 1)) == 0)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(new)) - 1
+        start, end = self.start[first], self.start[last] + self.size[last]
+        keys = []
+        for base in (_BASE, _BASE_2):
+            up, down = powers(base, len(buf) + 1)
+            sums = np.zeros(len(buf) + 1, U64)
+            np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=sums[1:])
+            keys.append(mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(U64)))
+        return self.row[first], start, end - start, keys[0], keys[1], np.cumsum(new) - 1
+
+    def take(self, keep: np.ndarray) -> None:
+        self.hash, self.row, self.start, self.size = self.hash[keep], self.row[keep], self.start[keep], self.size[keep]
+
 
 def pieces(values: pa.Array, length: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, offsets, rows and first bytes within their rows, piece by piece; long rows are cut between windows."""
@@ -103,68 +136,114 @@ def pieces(values: pa.Array, length: int, piece: int = PIECE) -> Iterator[tuple[
         yield np.concatenate([buf[a : a + k] for a, k in zip(at, m, strict=True)]), edge, r, base
 
 
-def _hashes(length: int, gram: int, part_bits: int, most: int = 1 << 20):
-    """Hashes of segments by part, four bytes each: once for each piece they occur in, twice if in two rows of it."""
+def noted(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The hash by which a stretch's document is noted."""
+    return mixed(k1 ^ mixed(k2 + mixed(doc.astype(np.int64).view(U64))))
+
+
+def _left(batch: pa.RecordBatch, length: int, gram: int, firsts: np.ndarray) -> Iterator[tuple]:
+    """Segments outside copied stretches, and these stretches, by piece; columns: doc, text_key, text."""
+    doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    for buf, off, rows, base in pieces(batch.column(2), length):
+        s = Segments(buf, off, length, gram)
+        row, start, size, k1, k2, of = s.stretches(buf)
+        copied = ~in_bitmap(firsts, noted(k1, k2, doc[rows[row]]))
+        s.take(~copied[of])
+        shift = base - off[:-1]
+        yield s, buf, doc[rows], key[rows], shift, (row[copied], start[copied], size[copied])
+
+
+def packed_parts(hashes: np.ndarray, part_bits: int) -> pa.RecordBatch:
+    """Hashes by their leading bits, of the others the first four bytes."""
+    part = (hashes >> U64(64 - part_bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rest = ((hashes >> U64(32 - part_bits)) & U64(0xFFFFFFFF)).astype("<u4")[order]
+    part = part[order]
+    cut = np.flatnonzero(np.diff(part)) + 1
+    parts = np.split(rest, cut)
+    return pa.RecordBatch.from_arrays([pa.array(part[np.concatenate([[0], cut])], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "hashes"])
 
-    def packed_parts(hashes: list[np.ndarray]) -> pa.RecordBatch:
-        every = np.concatenate(hashes)
-        part = (every >> U64(64 - part_bits)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        rest = ((every >> U64(32 - part_bits)) & U64(0xFFFFFFFF)).astype("<u4")[order]
-        part = part[order]
-        cut = np.flatnonzero(np.diff(part)) + 1
-        parts = np.split(rest, cut)
-        return pa.RecordBatch.from_arrays([pa.array(part[np.concatenate([[0], cut])], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "hashes"])
 
+def _gathered(hashes: Iterator[np.ndarray], part_bits: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for h in hashes:
+        held.append(h)
+        n += len(h)
+        if n >= most:
+            yield packed_parts(np.concatenate(held), part_bits)
+            held, n = [], 0
+    if n:
+        yield packed_parts(np.concatenate(held), part_bits)
+
+
+def _noted(part_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = ([b.column(i).to_numpy() for i in range(3)] for b in batches)
+        yield from _gathered((noted(k1.view(U64), k2.view(U64), doc) for k1, k2, doc in numbers), part_bits)
+
+    return run
+
+
+def _plain(part_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        yield from _gathered((b.column(0).to_numpy().view(U64) for b in batches), part_bits)
+
+    return run
+
+
+def _hashes(length: int, gram: int, part_bits: int, firsts):
+    """Hashes of segments: once for each piece they occur in, twice if in two rows of it."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            for buf, off, _, _ in pieces(batch.column(0), length):
-                s = Segments(buf, off, length, gram)
+            for s, *_ in _left(batch, length, gram, firsts.value):
                 order = np.lexsort((s.row, s.hash))
                 h, row = s.hash[order], s.row[order]
                 new = np.ones(len(h), bool)
                 new[1:] = h[1:] != h[:-1]
                 first = np.flatnonzero(new)
-                if not len(first):
-                    continue
-                last = np.append(first[1:], len(h)) - 1
-                held += [h[first], h[first][row[first] != row[last]]]
-                n += len(held[-1]) + len(held[-2])
-                if n >= most:
-                    yield packed_parts(held)
-                    held, n = [], 0
-        if n:
-            yield packed_parts(held)
+                if len(first):
+                    last = np.append(first[1:], len(h)) - 1
+                    yield h[first]
+                    yield h[first][row[first] != row[last]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered(found(batches), part_bits)
 
     return run
 
 
-def _repeats(part_bits: int, bits: int):
-    """The part's slice of the bitmap: places of hashes that came twice or more."""
+def _bits(part_bits: int, bits: int, least: int):
+    """The part's slice of the bitmap: places of hashes that came ``least`` times (1 or 2) or more."""
 
     def run(rows: pa.Table) -> pa.Table:
         every = np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in rows.column("hashes")])
-        every.sort()
-        twice = every[1:][every[1:] == every[:-1]]
+        if least == 2:
+            every.sort()
+            every = every[1:][every[1:] == every[:-1]]
         found = np.zeros(1 << (bits - part_bits), bool)
-        found[twice >> np.uint32(32 - bits + part_bits)] = True
+        found[every >> np.uint32(32 - bits + part_bits)] = True
         return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int64()), "bitmap": pa.array([np.packbits(found).tobytes()], pa.binary())})
 
     return run
 
 
-def repeated_hashes(docs: DataFrame, length: int, gram: int, bits: int = BITS) -> np.ndarray:
-    """A bitmap (2**bits bits, packed) of the leading bits of hashes that may be in several documents; docs: (t)."""
-    total = docs.agg(F.sum(F.octet_length("t"))).collect()[0][0] or 0
-    part_bits = min(max(6, int(np.ceil(np.log2(max(total, 1) / (16 << 20))))), bits - 6)
-    hashes = docs.select("t").mapInArrow(_hashes(length, gram, part_bits), "part long, hashes binary")
-    slices = hashes.groupBy("part").applyInArrow(_repeats(part_bits, bits), "part long, bitmap binary")
+PACKED = "part long, hashes binary"
+
+
+def part_bits_for(total: int, bits: int = BITS) -> int:
+    """So many parts that the hashes of 16 MB of text make one."""
+    return min(max(6, int(np.ceil(np.log2(max(total, 1) / (16 << 20))))), bits - 6)
+
+
+def bitmap_of(hashes: DataFrame, part_bits: int, least: int, bits: int = BITS):
+    """A broadcast bitmap (2**bits bits, packed) of the leading bits of packed hashes that came often enough."""
+    slices = hashes.groupBy("part").applyInArrow(_bits(part_bits, bits, least), "part long, bitmap binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (bits - part_bits - 3)
     for r in slices.toLocalIterator():
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-    return out
+    return hashes.sparkSession.sparkContext.broadcast(out)
 
 
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -172,44 +251,114 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> np.nd
     return (bitmap[(place >> U64(3)).astype(np.int64)] >> (np.uint8(7) - (place & U64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
-CANDIDATES = "doc long, text_key long, hash long, start long, segment binary"
+FOUND = "doc long, text_key long, hash long, segment_key long, start long, size int, segment binary"
 
 
-def _candidates(length: int, gram: int, bitmap):
+def _found(length: int, gram: int, firsts, repeated):
+    """Segments whose hash may repeat, and copied stretches (without a segment)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for batch in batches:
-            doc, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for buf, off, rows, base in pieces(batch.column(2), length):
-                s = Segments(buf, off, length, gram)
-                keep = np.flatnonzero(in_bitmap(bits, s.hash))
-                if not len(keep):
+            for s, buf, doc, key, shift, (row, start, size) in _left(batch, length, gram, firsts.value):
+                none = pa.nulls(len(row), pa.int64())
+                if len(row):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc[row]), pa.array(key[row]), none, none, pa.array(start + shift[row]), pa.array(size.astype(np.int32)), pa.nulls(len(row), pa.binary())],
+                        _FOUND_NAMES,
+                    )
+                s.take(in_bitmap(repeated.value, s.hash))
+                if not len(s.hash):
                     continue
-                size, start, row = s.size[keep], s.start[keep], s.row[keep]
-                edge = np.concatenate([[0], np.cumsum(size)])
-                data = buf[np.arange(edge[-1]) + np.repeat(start - edge[:-1], size)]
-                texts = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                up, down = powers(_BASE_2, len(buf) + 1)
+                sums = np.zeros(len(buf) + 1, U64)
+                np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=sums[1:])
+                own = mixed((sums[s.start + s.size] - sums[s.start]) * down[s.start] + s.size.astype(U64))
+                edge = np.concatenate([[0], np.cumsum(s.size)])
+                data = buf[np.arange(edge[-1]) + np.repeat(s.start - edge[:-1], s.size)]
+                texts = pa.Array.from_buffers(pa.binary(), len(s.size), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[rows[row]]), pa.array(key[rows[row]]), pa.array(s.hash[keep].view(np.int64)), pa.array(start - off[row] + base[row]), texts],
-                    ["doc", "text_key", "hash", "start", "segment"],
+                    [pa.array(doc[s.row]), pa.array(key[s.row]), pa.array(s.hash.view(np.int64)), pa.array(own.view(np.int64)), pa.array(s.start + shift[s.row]), pa.array(s.size.astype(np.int32)), texts],
+                    _FOUND_NAMES,
                 )
 
     return run
 
 
+_FOUND_NAMES = ["doc", "text_key", "hash", "segment_key", "start", "size", "segment"]
+
+
+def _stretch_keys(length: int, gram: int):
+    """Stretches of every text: (k1, k2, doc)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0).to_numpy()
+            for buf, off, rows, _ in pieces(batch.column(1), length):
+                row, _, _, k1, k2, _ = Segments(buf, off, length, gram).stretches(buf)
+                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(doc[rows[row]])], ["k1", "k2", "doc"])
+
+    return run
+
+
+def _texts(bitmap):
+    """Segments whose hash is in the bitmap, equal ones of a batch once with their least document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(0).to_numpy().view(U64))))
+            yield batch.take(pa.array(_least_of_equals(batch)))
+
+    return run
+
+
+def _in(bitmap):
+    """Keeps the rows whose first column is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(0).to_numpy().view(U64))))
+
+    return run
+
+
+def _least_of_equals(rows) -> np.ndarray:
+    """Of rows with equal hash and segment_key, the one with the least document."""
+    h, k, doc = (np.asarray(rows.column(c)) for c in ("hash", "segment_key", "least"))
+    order = np.lexsort((doc, k, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])
+    return order[new]
+
+
 SPANS = "array<struct<a:int,b:int>>"
 
 
-def _sorted_part(length: int):
-    """Of each segment the bytes to remove from its least document (spans a to b, of windows that an earlier one has)."""
+def _sorted_parts(length: int):
+    """Of each segment the bytes to remove from its least document (spans a to b, of windows that an earlier one has).
 
-    def run(rows: pa.Table) -> pa.Table:
+    A task has all segments of its hashes, about PART_BYTES of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = rows.take(pa.array(_least_of_equals(rows)))
+        _, of, count = np.unique(rows.column("hash").to_numpy(), return_inverse=True, return_counts=True)
+        rows = rows.filter(pa.array(count[of] > 1)).combine_chunks()  # a hash with one segment has no other to share windows with
+        if not rows.num_rows:
+            return
         buf, off = packed(rows.column("segment"))
         least = rows.column("least").to_numpy()
         window, edge = least_by_window(buf, off, least, length)
         hit = window < np.repeat(least, np.diff(edge))
-        spans = [_runs(hit[a:b], length) if hit[a:b].any() else [] for a, b in zip(edge, edge[1:], strict=False)]
-        return pa.table({"hash": rows.column("hash"), "segment_key": rows.column("segment_key"), "least": rows.column("least"), "most": rows.column("most"), "spans": pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
+        upto = np.concatenate([[0], np.cumsum(hit)])
+        some = np.flatnonzero(upto[edge[1:]] > upto[edge[:-1]])
+        spans = [_runs(hit[edge[k] : edge[k + 1]], length) for k in some]
+        told = rows.select(["hash", "segment_key", "least"]).take(pa.array(some))
+        told = told.append_column("spans", pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))))
+        yield from told.to_batches()
 
     return run
 
@@ -221,12 +370,11 @@ def _runs(hit: np.ndarray, length: int) -> list[dict[str, int]]:
 
 
 def _crowded(crowd: DataFrame, length: int) -> DataFrame:
-    """What _sorted_part finds, for segments of hashes with too many: windows meet by their bytes."""
+    """What _sorted_parts finds, for segments of hashes with too many: windows meet by their bytes."""
     each = crowd.withColumn("i", F.explode(F.expr(f"sequence(0, octet_length(segment) - {length})"))).withColumn("window", F.expr(f"substring(segment, i + 1, {length})"))
-    first = each.groupBy("window").agg(F.min("least").alias("first"))
-    hit = each.join(first, "window").where("first < least").select("hash", "segment_key", F.col("i").alias("a"), (F.col("i") + length).alias("b"))
-    spans = hit.groupBy("hash", "segment_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return crowd.select("hash", "segment_key", "least", "most").join(spans, ["hash", "segment_key"], "left").select("hash", "segment_key", "least", "most", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
+    first = materialise(each.groupBy("window").agg(F.min("least").alias("first")), "crowded-windows")
+    hit = each.join(first, "window").where("first < least").select("hash", "segment_key", "least", F.col("i").alias("a"), (F.col("i") + length).alias("b"))
+    return hit.groupBy("hash", "segment_key", "least").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def text_key(text: Column) -> Column:
@@ -240,24 +388,54 @@ def _keyed(documents: DataFrame) -> DataFrame:
 def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """doc, text_key, spans: byte spans (a, b) to remove, of the documents that have some; spans may overlap."""
     spark = documents.sparkSession
-    docs = _keyed(documents)
-    bitmap = spark.sparkContext.broadcast(repeated_hashes(docs, length, gram))
-    found = materialise(docs.mapInArrow(_candidates(length, gram, bitmap), CANDIDATES), "segments")
-    keyed = found.withColumn("segment_key", F.xxhash64("segment"))
-    distinct = materialise(keyed.groupBy("hash", "segment_key", "segment").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "distinct-segments")
-    per_hash = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("first"), F.max("most").alias("last")).where("first < last")
-    total = distinct.agg(F.sum(F.octet_length("segment"))).collect()[0][0] or 0
-    n_parts = max(1, -(-total // PART_BYTES))
-    crowded = per_hash.where(F.col("n") > most_segments).select("hash")
-    has_crowd = not crowded.isEmpty()
-    rest = distinct.join(crowded, "hash", "left_anti") if has_crowd else distinct
-    parts = rest.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(n_parts))).groupBy("part").applyInArrow(_sorted_part(length), f"hash long, segment_key long, least long, most long, spans {SPANS}")
-    judged = parts.unionByName(_crowded(distinct.join(crowded, "hash"), length)) if has_crowd else parts
-    judged = judged.where("least < most or size(spans) > 0")
-    places = keyed.select("doc", "text_key", "hash", "segment_key", "start", F.octet_length("segment").alias("size"))
-    own = F.when(F.col("doc") > F.col("least"), F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))).otherwise(F.col("spans"))
-    hit = places.join(judged, ["hash", "segment_key"]).select("doc", "text_key", "start", F.explode(own).alias("s"))
-    return hit.groupBy("doc", "text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))).alias("spans"))
+    scratch = Scratch(spark)
+    with arrow_rows(spark, ROWS):
+        out = materialise(_removals(_keyed(documents), length, gram, most_segments, scratch), "removals")
+    scratch.drop()
+    return out
+
+
+def _removals(docs: DataFrame, length: int, gram: int, most_segments: int, scratch: Scratch) -> DataFrame:
+    part_bits = part_bits_for(docs.agg(F.sum(F.octet_length("t"))).collect()[0][0] or 0)
+
+    stretches = docs.select("doc", "t").mapInArrow(_stretch_keys(length, gram), "k1 long, k2 long, doc long")
+    first = stretches.groupBy("k1", "k2").agg(F.min("doc").alias("doc"))
+    firsts = bitmap_of(first.mapInArrow(_noted(part_bits), PACKED), part_bits, 1)
+
+    repeated = bitmap_of(docs.mapInArrow(_hashes(length, gram, part_bits, firsts), PACKED), part_bits, 2)
+    found = scratch.table(docs.mapInArrow(_found(length, gram, firsts, repeated), FOUND), "segments")
+    places = found.where("segment is not null").select("hash", "segment_key", "doc", "text_key", "start", "size")
+    for used in (firsts, repeated):
+        used.destroy()
+
+    distinct = scratch.table(places.groupBy("hash", "segment_key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("size").alias("size")), "distinct-segments")
+    several = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("size"), F.min("least").alias("least"), F.max("most").alias("most"))
+    several = scratch.table(several.where("n > 1 and least < most"), "hashes-with-several")
+    sizes = several.agg(F.sum("size"), F.max("n")).collect()[0]
+    several_bits = bitmap_of(several.select("hash").mapInArrow(_plain(part_bits), PACKED), part_bits, 1)
+    texts = found.where("segment is not null").select("hash", "segment_key", "segment", F.col("doc").alias("least"))
+    texts = texts.mapInArrow(_texts(several_bits), "hash long, segment_key long, segment binary, least long")
+    n_parts = max(1, -(-(sizes[0] or 0) // PART_BYTES))
+    rest, crowd = texts, None
+    if (sizes[1] or 0) > most_segments:
+        texts = scratch.table(texts.groupBy("hash", "segment_key", "segment").agg(F.min("least").alias("least")), "segment-texts")
+        crowded = several.where(F.col("n") > most_segments).select("hash")
+        rest, crowd = texts.join(crowded, "hash", "left_anti"), texts.join(crowded, "hash")
+    spans = rest.repartition(n_parts, "hash").mapInArrow(_sorted_parts(length), f"hash long, segment_key long, least long, spans {SPANS}")
+    if crowd is not None:
+        spans = spans.unionByName(_crowded(crowd, length))
+    # later documents lose a segment whole, its least document the spans
+    shared = distinct.where("least < most").select("hash", "segment_key", "least", F.expr(f"cast(null as {SPANS})").alias("spans"))
+    judged = scratch.table(shared.unionByName(spans), "judged-segments")
+    judged_bits = bitmap_of(judged.select("hash").mapInArrow(_plain(part_bits), PACKED), part_bits, 1)
+    near = places.mapInArrow(_in(judged_bits), places.schema)
+    whole = F.when(F.col("doc") > F.col("least"), F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))))
+    own = F.when(F.col("spans").isNull(), whole).when(F.col("doc") == F.col("least"), F.col("spans"))
+    hit = near.join(judged, ["hash", "segment_key"]).select("doc", "text_key", "start", F.explode(own).alias("s"))
+    range_ = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")).alias("range")
+    ranges = hit.select("doc", "text_key", range_(F.col("start") + F.col("s.a"), F.col("start") + F.col("s.b")))
+    copied = found.where("segment is null").select("doc", "text_key", range_(F.col("start"), F.col("start") + F.col("size")))
+    return ranges.unionByName(copied).groupBy("doc", "text_key").agg(F.collect_list("range").alias("spans"))
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +516,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    clean, rest = parted(narrow, materialise(removals(narrow, length), "removals"))
+    clean, rest = parted(narrow, removals(narrow, length))
     none = F.lit(0).cast("long")
     untouched = clean.select("doc_id", F.octet_length(utf8("text")).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(utf8("text"), 256).alias("kept_sha256"))
     return untouched.unionByName(rest.select("doc_id", utf8("text").alias("t"), "__spans").mapInArrow(_report, REPORT))
@@ -362,6 +540,6 @@ def _cut(at: int):
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all their columns, with repeated strings cut out of their texts."""
-    clean, rest = parted(documents, materialise(removals(documents, length), "removals"))
+    clean, rest = parted(documents, removals(documents, length))
     cut = rest.select(*documents.columns, "__spans").mapInArrow(_cut(documents.columns.index("text")), documents.schema)
     return clean.unionByName(cut)
