@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_extract, license_scan, mixing, simhash, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, embedding_dedup, html_extract, license_scan, mixing, oracle, simhash, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE, "op10_warc": warc.ORACLE}
+    return dict(oracle.SQL)
