@@ -63,6 +63,8 @@ JUNK = frozenset(
     "subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager skip".split()
 )
 
+SAYS_OF = frozenset("has with without no is not".split())
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)",
     re.S,
@@ -87,8 +89,13 @@ def _is_junk(tag: str, attrs: dict[str, str]) -> bool:
 
 
 def _name_words(attrs: dict[str, str]) -> set[str]:
-    name = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return set(WORDS_OF_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) if name != " " else set()
+    """Words of the classes and the id; names that say what an element has or lacks (has-sidebar) don't count."""
+    out: set[str] = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = WORDS_OF_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if words and words[0] not in SAYS_OF:
+            out.update(words)
+    return out
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:

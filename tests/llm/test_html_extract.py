@@ -33,6 +33,11 @@ def test_broken_markup():
     assert text("<p>" * 3000 + "deep" + "<div>" * 500 + "er") == "deep\ner"
 
 
+def test_names_of_classes():
+    kept = "<div class='layout has-sidebar no-comments'><p>text</p><div class='shareBar'>x</div><p id='ad-slot-3'>y</p><span class='promo'>z</span></div>"
+    assert text(f"<body>{kept}<div role=navigation>n</div><div hidden>h</div><section class='reader-comments'>c</section></body>") == "text"
+
+
 def test_generalised_paths():
     paths = {p for _, _, path, _ in h.Page(page("<div class='post post-77 Wide'><p>x y z</p></div>")).blocks for p in path}
     assert "body>div.post.post-#.wide" in paths
