@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -60,6 +61,40 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: Bits of the bitmap of keys by which rows are split: 2 MB.
+KEY_BITS = 24
+
+
+def _key_bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the leading bits of hashed keys (one long column)."""
+    places = keys.toDF("key").select(F.shiftrightunsigned("key", 64 - KEY_BITS).alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("bit"))
+    out = np.zeros(1 << (KEY_BITS - 5), np.uint32)
+    for r in places.groupBy("word").agg(F.bit_or("bit").alias("w")).toLocalIterator():
+        out[r["word"]] = r["w"]
+    return out
+
+
+def _split(bitmap, inside: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(batch.num_columns - 1).to_numpy().view(U64) >> U64(64 - KEY_BITS)
+            hit = (bitmap.value[(place >> U64(5)).astype(np.int64)] >> (place & U64(31)).astype(np.uint32)) & np.uint32(1) > 0
+            yield batch.filter(pa.array(hit if inside else ~hit))
+
+    return run
+
+
+def split_rows(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is surely not among ``keys``, and the others, which an exact join can then sort out.
+
+    The hashed key is the last column. So a join shuffles only rows that may
+    match; the bitmap's size is fixed, and the more keys there are the more rows
+    go to the join.
+    """
+    bitmap = keyed.sparkSession.sparkContext.broadcast(_key_bitmap(keys))
+    return keyed.mapInArrow(_split(bitmap, False), keyed.schema), keyed.mapInArrow(_split(bitmap, True), keyed.schema)
+
+
 def utf8(column: str) -> Column:
     """A text column as its UTF-8 bytes; null as no bytes."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

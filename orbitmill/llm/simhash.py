@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import chunk_pairs, components, forest, linked_pairs
-from .shared import SPACED, U64, Words, materialise, packed, slices, utf8
+from .shared import SPACED, U64, Words, materialise, packed, slices, split_rows, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -136,8 +136,12 @@ def keep_first(documents: DataFrame, distance: int = DISTANCE, width: int = SHIN
     found = materialise(simhash_components(documents, distance, width).select("doc_id", "component_id").where("doc_id is not null"), "simhash-found")
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("n > 1")
     gone = found.where("doc_id <> component_id").select("doc_id")
-    if repeated.isEmpty():
-        return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    one = documents.join(repeated.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    others = documents.join(gone.unionByName(repeated.select("doc_id")), "doc_id", "left_anti")
-    return others.select(*documents.columns).unionByName(one.select(*documents.columns))
+    several = not repeated.isEmpty()
+    asked = gone.unionByName(repeated.select("doc_id")) if several else gone
+    # only documents that may go are shuffled
+    stay, rest = split_rows(documents.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"))), asked.select(F.xxhash64("doc_id")))
+    kept = stay.unionByName(rest.join(asked, "doc_id", "left_anti")).select(*documents.columns)
+    if not several:
+        return kept
+    one = rest.join(repeated.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(one.select(*documents.columns))

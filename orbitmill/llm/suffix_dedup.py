@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, Scratch, arrow_rows, materialise, mixed, packed, powers, utf8
+from .shared import U64, Scratch, arrow_rows, materialise, mixed, packed, powers, split_rows, utf8
 from .suffix_sort import least_by_window
 
 LENGTH, GRAM = 50, 20
@@ -455,38 +455,11 @@ def without(text: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
     return b"".join(text[i:j] for i, j in zip(edge[::2], edge[1::2], strict=True))
 
 
-def _doc_bitmap(touched: DataFrame, bits: int = 24) -> np.ndarray:
-    """A bitmap of the leading bits of the text keys of documents that have something to remove."""
-    places = touched.select(F.shiftrightunsigned("text_key", 64 - bits).alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("bit"))
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    for r in places.groupBy("word").agg(F.bit_or("bit").alias("w")).toLocalIterator():
-        out[r["word"]] = r["w"]
-    return out
-
-
-def _touched_mask(bitmap: np.ndarray, keys: np.ndarray, bits: int = 24) -> np.ndarray:
-    place = keys.view(U64) >> U64(64 - bits)
-    return (bitmap[(place >> U64(5)).astype(np.int64)] >> (place & U64(31)).astype(np.uint32)) & np.uint32(1) > 0
-
-
-def _split(bitmap, touched: bool):
-    """Keeps the rows that may (not) have something to remove; the text key is in the last column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = _touched_mask(bitmap.value, batch.column(batch.num_columns - 1).to_numpy())
-            yield batch.filter(pa.array(mask if touched else ~mask))
-
-    return run
-
-
 def parted(documents: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents that have nothing to remove for sure, and the others with their ``__spans`` (or null)."""
-    spark = documents.sparkSession
-    bitmap = spark.sparkContext.broadcast(_doc_bitmap(spans))
-    keyed = documents.withColumn("__text_key", text_key(F.col("text")))
-    clean = keyed.mapInArrow(_split(bitmap, False), keyed.schema).drop("__text_key")
-    rest = keyed.mapInArrow(_split(bitmap, True), keyed.schema).withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    clean, rest = split_rows(documents.withColumn("__text_key", text_key(F.col("text"))), spans.select("text_key"))
+    clean = clean.drop("__text_key")
+    rest = rest.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     side = spans.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans"))
     return clean, rest.join(side, ["__doc", "__text_key"], "left").drop("__doc", "__text_key")
 
