@@ -6,15 +6,18 @@ which the whole part is certain and the fraction is its inclusion probability.
 The cube method decides the fractions: it moves the vector of probabilities
 along directions of the constraint matrix's null space, which keeps the
 expected number of documents and of words, until every unit but a few is at 0
-or 1 (flight). The last ones and some units of all sizes kept back for them are a landing
-problem of at most ``LANDING`` + 2 units, solved by comparing all outcomes.
+or 1 (flight). The last ones and some units of falling sizes kept back for them
+are a landing problem of at most ``LANDING`` + 2 units, solved by comparing all
+outcomes.
 
 Flights run in blocks of about ``BLOCK`` documents of one source, dealt by a
-hash of the document, so no source is gathered in one task; at most two
-documents of a block stay undecided and meet in blocks of the next level, until
-one block per source is left and lands there. A source's taken words thus miss
-its target by a few words only, where it has units enough. Random steps come from
-the seed and the block's number: reruns agree whatever the partitioning.
+hash of the document, so no source is gathered in one task. At most two
+documents of a block stay undecided; these and the units it keeps back (the
+blocks of a source take turns among ``LANDING`` sizes, one at least each) meet
+in blocks of the next level. A source lands at the level where it has one block
+left, whatever other sources still have. Its taken words thus miss its target by
+a few words only, where it has units enough. Random steps come from the seed and
+the block's number: reruns agree whatever the partitioning.
 
 Defined results: null text has size 0; a null source is a source of its own,
 ordered last; documents of size 0 may be taken and add nothing; sources whose
@@ -40,9 +43,11 @@ MOST_TIMES = 3
 WEIGHTS = (1, 2, 3)
 #: Units of a source kept back for its landing.
 LANDING = 12
+#: Their sizes fall by this at most from one to the next; under 2, so that sums of some of them leave no gaps.
+RATIO = 1.8
 _TINY = 1e-9
 
-UNIT = "source string, doc_id long, size long, whole int, chance double, block long"
+UNIT = "source string, doc_id long, size long, whole int, chance double, block long, blocks long"
 
 
 def n_words(text: Column) -> Column:
@@ -103,17 +108,37 @@ def fly(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nd
     return np.array([0.0 if v <= _TINY else 1.0 if v >= 1 - _TINY else v for v in p])
 
 
+def spread(chance: np.ndarray, size: np.ndarray, places: range = range(LANDING)) -> np.ndarray:
+    """Undecided units at these of ``LANDING`` places, from the largest down in steps of one ratio."""
+    open_ = np.flatnonzero((chance > _TINY) & (chance < 1 - _TINY))
+    ranked = open_[np.argsort(size[open_], kind="stable")]
+    if not len(ranked):
+        return ranked
+    scale, place = np.log(1.0 + size[ranked]), np.arange(LANDING)
+    step = min((scale[-1] - scale[0]) / (LANDING - 1), np.log(RATIO))
+    at = np.searchsorted(scale, scale[-1] - step * place[::-1] - _TINY)
+    # units of their own
+    at = np.minimum(np.maximum.accumulate(at - place) + place, len(ranked) - LANDING + place)[list(places)]
+    return ranked[at[at >= 0]]
+
+
+def pass_on(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, block: int, blocks: int) -> np.ndarray:
+    """Flies a block of a source that has several, but for the units it keeps back for the landing."""
+    kept = spread(chance, size, range(block % LANDING, LANDING, blocks))
+    flying = np.setdiff1d(np.arange(len(chance)), kept)
+    out = chance.copy()
+    out[flying] = fly(chance[flying], size[flying], rng)
+    return out
+
+
 def land(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flies all units but ``LANDING`` of all sizes, then decides these and what the flight left.
+    """Flies all units but ``LANDING`` of falling sizes, then decides these and what the flight left.
 
     All outcomes of the last units are compared; the one nearest to the
     expected words, then documents, is taken.
     """
     chance = np.where(chance <= _TINY, 0.0, np.where(chance >= 1 - _TINY, 1.0, chance))
-    open_ = np.flatnonzero((chance > 0) & (chance < 1))
-    ranked = open_[np.argsort(size[open_], kind="stable")]
-    last = ranked[np.unique(np.linspace(0, len(ranked) - 1, LANDING).astype(int))] if len(ranked) else ranked
-    flying = np.setdiff1d(np.arange(len(chance)), last)
+    flying = np.setdiff1d(np.arange(len(chance)), spread(chance, size))
     out = chance.copy()
     out[flying] = fly(chance[flying], size[flying], rng)
     left = np.flatnonzero((out > 0) & (out < 1))
@@ -126,18 +151,18 @@ def land(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.n
     return out
 
 
-def _flight(seed: int, level: int, landing: bool):
+def _flight(seed: int, level: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         doc = rows.column("doc_id").to_numpy(zero_copy_only=False)
         size = rows.column("size").to_numpy()
         chance = rows.column("chance").to_numpy()
         known = np.nan_to_num(doc.astype(float), nan=-1.0) if doc.dtype != np.int64 else doc
         order = np.lexsort((chance, size, known))
-        source = key[0].as_py()
+        source, block, blocks = (k.as_py() for k in key)
         name = int.from_bytes(("\x00" if source is None else source).encode("utf-8", "surrogatepass"), "big")
-        rng = np.random.default_rng([seed, level, key[1].as_py(), name])
+        rng = np.random.default_rng([seed, level, block, name])
         moved = np.empty(len(chance))
-        moved[order] = (land if landing else fly)(chance[order], size[order], rng)
+        moved[order] = land(chance[order], size[order], rng) if blocks == 1 else pass_on(chance[order], size[order], rng, block, blocks)
         return rows.set_column(rows.schema.get_field_index("chance"), "chance", pa.array(moved))
 
     return run
@@ -152,24 +177,25 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     units = (
         sizes.join(side, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("times", times)
-        .select("source", "doc_id", "size", F.floor("times").cast("int").alias("whole"), (F.col("times") - F.floor("times")).alias("chance"), F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks")).alias("block"))
+        .select("source", "doc_id", "size", F.floor("times").cast("int").alias("whole"), (F.col("times") - F.floor("times")).alias("chance"), F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks")).alias("block"), "blocks")
     )
     sure = F.col("chance").isin(0.0, 1.0)
     wide = max((r[0] for r in plan.agg(F.max("blocks")).collect() if r[0]), default=1)
     level, decided, todo = 0, [], units
     while True:
         last = wide == 1
-        flown = materialise(todo.groupBy("source", "block").applyInArrow(_flight(seed, level, last), UNIT), f"mix-flight-{level}")
+        flown = materialise(todo.groupBy("source", "block", "blocks").applyInArrow(_flight(seed, level), UNIT), f"mix-flight-{level}")
         decided.append(flown.where(sure))
         if last:
             break
         per = block // 2
         wide = -(-wide // per)
-        todo = flown.where(~sure).withColumn("block", F.floor(F.col("block") / F.lit(per)).cast("long"))
+        todo = flown.where(~sure).withColumn("block", F.floor(F.col("block") / F.lit(per)).cast("long")).withColumn("blocks", F.ceil(F.col("blocks") / F.lit(per)).cast("long"))
         level += 1
     every = decided[0]
     for part in decided[1:]:
         every = every.unionByName(part)
+    every = every.drop("blocks")
     copies = (F.col("whole") + F.col("chance").cast("int")).cast("int")
     return every.join(side, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "source"

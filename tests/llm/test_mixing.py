@@ -91,3 +91,30 @@ def test_flight_keeps_totals_and_chances():
     assert np.abs(seen / 600 - chance).max() < 0.1
     done = m.land(chance, size, rng)
     assert set(done.tolist()) <= {0.0, 1.0} and abs(done @ size - chance @ size) < 10
+
+
+def long_tailed(rng, n):
+    return np.minimum(rng.lognormal(5, 1.5, n).astype(int), 20_000)
+
+
+def test_small_sources_beside_a_large_one(spark):
+    rng = np.random.default_rng(3)
+    number = {"hot": 700, **{f"s{k:02d}": 100 for k in range(20)}}
+    rows = [(source, int(x)) for source, n in number.items() for x in long_tailed(rng, n)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, size int").selectExpr("doc_id", "source", "repeat('w ', size) as text")
+    miss = {}
+    for r in m.mix(docs).collect():
+        miss[r["source"]] = miss.get(r["source"], -r["target"]) + r["taken"]
+    assert len(miss) == 21 and max(map(abs, miss.values())) <= 100
+
+
+def test_blocks_keep_units_of_falling_sizes_back():
+    rng = np.random.default_rng(4)
+    for blocks in (2, 5, 30):
+        sizes = [long_tailed(rng, 500) for _ in range(blocks)]
+        flown = [m.pass_on(np.full(500, 0.4), x, rng, k, blocks) for k, x in enumerate(sizes)]
+        chance, size = np.concatenate(flown), np.concatenate(sizes)
+        assert chance.sum() == pytest.approx(200 * blocks) and chance @ size == pytest.approx(0.4 * size.sum())
+        left = (chance > 0) & (chance < 1)
+        assert m.LANDING <= left.sum() <= max(m.LANDING, blocks) + 2 * blocks
+        assert abs(m.land(chance, size, rng) @ size - 0.4 * size.sum()) <= 100
