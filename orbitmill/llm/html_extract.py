@@ -5,6 +5,10 @@ boilerplate counting against them; a container is known by its generalised path
 of tags and classes (digits made alike). Paths are voted on by host in Spark,
 and every page is then extracted by the best of its host's ``WINNERS`` winning
 paths that it has, or by its own best container where it has none of them.
+An inner box with most of an article beats the box around the whole, so a page
+climbs from its container to those around it while these add little-linked text
+(or headings directly in them, linked or not); to the body only while what it
+adds lies directly in it, as other boxes there are other things.
 
 Dropped everywhere: scripts, styles, comments, templates, forms, menus,
 headers, footers, sidebars, notices, adverts and reader comments, known by tag,
@@ -39,6 +43,8 @@ FADE = 0.9
 #: Containers nested deeper are part of the one above.
 DEPTH = 64
 SEMANTIC = 1.2
+#: Share of links in what a page may climb for.
+LINKED = 0.5
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +59,7 @@ SEMANTIC_TAGS = frozenset("article main".split())
 DROPPED = frozenset(
     "head script style title noscript template nav header footer aside form iframe textarea select button input svg canvas object dialog menu search audio video noembed noframes xmp".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog alertdialog".split())
@@ -109,6 +116,7 @@ class Page:
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, tuple[str, ...], bool]] = []
+        self.headings: set[int] = set()  # numbers of blocks that are headings
         self._text: list[str] = []
         self._linked = 0
         self.stack: list[tuple[str, bool, str | None, bool]] = []  # tag, junk at or above, path if a container, drops text within a block
@@ -154,6 +162,8 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
+                if any(t in HEADINGS for t, _, _, _ in self.stack):
+                    self.headings.add(len(self.blocks))
                 self.blocks.append((text, min(self._linked, len(text)), self._paths, self._junk))
             self._text, self._linked = [], 0
 
@@ -227,6 +237,33 @@ class Page:
                     out[path] += (len(text) - linked) * FADE**up * (SEMANTIC if tag in SEMANTIC_TAGS else 1)
         return out
 
+    def climbed(self, path: str) -> str:
+        """The outermost container around this one that only adds text of the article."""
+        inside = next((p for _, _, p, junk in self.blocks if not junk and path in p), (path,))
+        chain = inside[: inside.index(path) + 1]
+        added: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])  # by depth: characters, those in links, blocks in other boxes
+        for k, (text, linked, paths, junk) in enumerate(self.blocks):
+            if junk:
+                continue
+            depth = 0
+            for one, other in zip(chain, paths, strict=False):
+                if one != other:
+                    break
+                depth += 1
+            if depth < len(chain):
+                sums, direct = added[depth - 1], len(paths) == depth
+                sums[0] += len(text)
+                sums[1] += 0 if direct and k in self.headings else linked
+                sums[2] += not direct
+        top = len(chain) - 1
+        for depth in range(len(chain) - 2, -1, -1):
+            n, linked, others = added.get(depth, (0, 0, 0))
+            if linked > LINKED * n or (depth == 0 and others):
+                break
+            if n:
+                top = depth
+        return chain[top]
+
     def text(self, winners: list[str]) -> str:
         """Blocks within the first winner that the page has, else within its own best container."""
         have = {p for _, _, paths, junk in self.blocks if not junk for p in paths}
@@ -234,6 +271,8 @@ class Page:
         if path is None and have:
             scores = self.scores()
             path = max(sorted(have), key=lambda p: scores[p])
+        if path is not None:
+            path = self.climbed(path)
         return "\n".join(t for t, _, paths, junk in self.blocks if not junk and (path is None or path in paths))
 
 

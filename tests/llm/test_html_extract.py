@@ -43,6 +43,32 @@ def test_generalised_paths():
     assert "body>div.post.post-#.wide" in paths
 
 
+def test_what_lies_beside_an_inner_box():
+    story = "<p>" + "A sentence of the story, one of many. " * 30 + "</p>"
+    want = " ".join(("A sentence of the story, one of many. " * 30).split())
+    for box in (
+        "<div class=post><h1>Head line</h1><div class=entry>%s</div></div>",
+        "<div class=post><h1><a href=/1>Head line</a></h1><div class=entry>%s</div></div>",
+        "<article><h1>Head line</h1><div><div class=entry>%s</div></div></article>",
+        "<div class=wrap><div class=title><h2>Head line</h2></div><div><div class=entry>%s</div></div></div>",
+        "<main><h1>Head line</h1><article>%s</article></main>",
+        "<h1>Head line</h1><div class=entry>%s</div>",
+    ):
+        assert text(page(box % story)) == f"Head line\n{want}"
+        assert text(page(box % story, "<div class=more><p>Short</p></div>")).endswith(want)
+    lead = "<div class=post><h1>Head line</h1><p class=lead>Lead.</p><div class=entry>%s</div><p>By <a href=x>me</a>, in town</p><div class=share>x</div></div>"
+    assert text(page(lead % story)) == f"Head line\nLead.\n{want}\nBy me, in town"
+    links = "<div class=page><div class=list><p><a href=1>Another story</a></p><p><a href=2>And one more</a></p></div><div class=entry>%s</div></div>"
+    assert text(page(links % story)) == want
+
+
+def test_heading_beside_the_hosts_box(make_pages):
+    story = "<p>" + "A sentence of the story, one of many. " * 30 + "</p>"
+    rows = [(i, f"http://a.com/{i}", page(f"<div class='post p{i}'><h1>Head {i}</h1><div class=entry>{story}</div></div>")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in h.extract(make_pages(rows)).collect()}
+    assert all(got[i].startswith(f"Head {i}\nA sentence") for i in range(4))
+
+
 def test_hosts_vote(make_pages):
     rows = [(i, f"http://a.com/{i}", page(f"<div class='story s{i}'><h1>Head line</h1>{BODY}</div>", "<div class='story-list'><p>Short</p></div>")) for i in range(5)]
     odd = page("<div class='story s9'><p>Hi.</p></div>", "<div class='other'><p>A much longer text than the story of this page has, but in the wrong place of it.</p></div>")
