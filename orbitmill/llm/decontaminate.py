@@ -7,7 +7,8 @@ whole: each run of words whose 64-bit hash is in the set is compared with the
 item's own words, and a verified run marks its words as hit.
 
 The set is broadcast in slices of at most ``MOST_WINDOWS`` windows, so its size
-is bounded whatever the benchmark's; a larger benchmark costs further scans.
+is bounded whatever the benchmark's; a larger benchmark costs further scans, of
+a numbered copy of the texts, by whose numbers the scans are put together.
 
 Defined results: a null or empty text has no words and is clean; items without
 words have no window; items that share an item_id are one item; a null item_id
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,9 +84,12 @@ def windows_of(items: list[tuple[str, bytes]], width: int = WIDTH) -> dict[int,
 
 
 def _scan(sets: list[WindowSet]):
+    """Scans the last column, a text; the columns before it are passed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = packed(batch.column(2))
+            known = batch.schema.names[:-1]
+            buf, off = packed(batch.column(batch.num_columns - 1))
             for a, b in slices(off, PIECE):
                 words = Words(buf[off[a] : off[b]], off[a : b + 1] - off[a], ALNUM)
                 hashes = words.hashes()
@@ -99,13 +104,12 @@ def _scan(sets: list[WindowSet]):
                 spans = [_merged(marks[r]) if r in marks else [] for r in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(1).slice(a, b - a),
+                        *(batch.column(c).slice(a, b - a) for c in range(len(known))),
                         pa.array(np.diff(words.first).astype(np.int64)),
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
                         pa.array([sorted(items.get(r, ())) for r in range(b - a)], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "text_key", "n_words", "spans", "items"],
+                    [*known, "n_words", "spans", "items"],
                 )
 
     return run
@@ -140,11 +144,13 @@ def benchmark_items(benchmark: DataFrame) -> Iterator[tuple[str, bytes]]:
 def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST_WINDOWS) -> DataFrame:
     """One row per document: a hash of its text, its number of words, the hit spans of words, the items found."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), utf8("text").alias("t"))
-    scans = [docs.mapInArrow(_scan(sets), HITS) for sets in _sliced(windows_of(list(benchmark_items(benchmark)), width), most)]
-    if len(scans) == 1:
-        return scans[0]
-    # Further slices: scans meet by row, which the same input and order make the same in each.
-    numbered = [materialise(s.select("*", F.monotonically_increasing_id().alias("row")), "hits") for s in scans]
+    sliced = _sliced(windows_of(list(benchmark_items(benchmark)), width), most)
+    first, second = next(sliced), next(sliced, None)
+    if second is None:
+        return docs.mapInArrow(_scan(first), HITS)
+    # Further slices: rows are numbered once and for all, as jobs may split or order the same input differently.
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "*"), "numbered")
+    numbered = [materialise(rows.mapInArrow(_scan(sets), f"row long, {HITS}"), "hits") for sets in chain((first, second), sliced)]
     every = numbered[0]
     for s in numbered[1:]:
         every = every.unionByName(s)

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from orbitmill.llm import decontaminate as d
 
 from .conftest import SHARED, TEXTS, as_set
@@ -50,6 +52,14 @@ def test_more_windows_than_a_slice(spark, documents):
     assert as_set(few, "doc_id", "text") == as_set(whole, "doc_id", "text")
 
 
+def test_slices_of_an_input_in_changing_order(spark, documents):
+    shuffled = documents.withColumn("__order", F.expr("reflect('java.lang.Math', 'random')")).orderBy("__order").drop("__order")
+    found = d.find_hits(shuffled, benchmark(spark), most=3).withColumn("n_hit", d.n_hit()).withColumn("n_items", F.size("items"))
+    assert as_set(found, *COLUMNS[:4]) == sorted([r[:4] for r in brute(TEXTS, ITEMS)], key=repr)
+    few = d.drop_contaminated(shuffled, benchmark(spark), most=3)
+    assert as_set(few, "doc_id", "text") == as_set(d.drop_contaminated(documents, benchmark(spark)), "doc_id", "text")
+
+
 def test_contaminated_documents_go_and_others_stay_whole(spark, documents):
     kept = d.drop_contaminated(documents, benchmark(spark))
     assert kept.schema == documents.schema
