@@ -51,7 +51,7 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            buf, off = packed(batch.column(1))
+            buf, off = packed(batch.column(batch.num_columns - 1))
             out = np.zeros(batch.num_rows, np.int64)
             for a, b in slices(off, PIECE):
                 words = Words(buf[off[a] : off[b]], off[a : b + 1] - off[a], SPACED)
@@ -70,7 +70,7 @@ def _fingerprints(width: int):
                     else:
                         spans = zip(start[i : j - width + 1].tolist(), end[i + width - 1 : j].tolist(), strict=True)
                     out[a + r] = np.array(fingerprint(np.array([digest(joined[x:y], SEED) for x, y in spans], U64)), U64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "fp"])
 
     return run
 
@@ -115,33 +115,56 @@ def close_links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOC
     return linked_pairs(chunked, ["choice", "part"], _close(distance), "a long, b long")
 
 
-def simhash_components(documents: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), one row per document."""
-    prints = materialise(fingerprints(documents, width), "simhash-fp")
+def _groups(prints: DataFrame, distance: int) -> DataFrame:
+    """fp, least (its least doc_id), root (its component's) of every fingerprint."""
     # the class number is its place among ids; ids may be null or repeated, fingerprints are not
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-classes")
     by_print = components(close_links(classes.select("fp", F.col("fp").alias("rep")), distance), "simhash")
     group = classes.join(by_print, classes["fp"] == by_print["node"], "left").select(classes["fp"], "least", F.coalesce("component", classes["fp"]).alias("root"))
-    group = materialise(group, "simhash-groups")
+    return materialise(group, "simhash-groups")
+
+
+def simhash_components(documents: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), one row per document."""
+    prints = materialise(fingerprints(documents, width), "simhash-fp")
+    group = _groups(prints, distance)
     least = materialise(group.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = group.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """The documents, all their columns, one of each component: that with the least doc_id.
+def keep_each(documents: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
+    """The documents, all their columns, one of each component: that with the least doc_id, then hash of its text.
 
-    Of rows that share a doc_id one at most stays. Documents without a doc_id are kept.
+    Null doc_ids come last. Of rows equal in doc_id and text it is undefined which one stays.
     """
-    found = materialise(simhash_components(documents, distance, width).select("doc_id", "component_id").where("doc_id is not null"), "simhash-found")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("n > 1")
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    several = not repeated.isEmpty()
-    asked = gone.unionByName(repeated.select("doc_id")) if several else gone
+    doc_id, text_key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = documents.select(doc_id.alias("doc_id"), text_key.alias("text_key"), utf8("text").alias("t"))
+    prints = materialise(texts.mapInArrow(_fingerprints(width), "doc_id long, text_key long, fp long"), "simhash-fp")
+    found = materialise(prints.join(_groups(prints, distance).select("fp", "root"), "fp").select("doc_id", "text_key", "root"), "simhash-found")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("f"))
+    first = materialise(first.select(F.col("f.doc_id").alias("first_id"), F.col("f.text_key").alias("first_key")), "simhash-first")
+    copies = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    judged = copies.join(first, copies["doc_id"].eqNullSafe(first["first_id"]) & (copies["text_key"] == first["first_key"]), "left")
+    stays = F.col("first_key").isNotNull()
+    asked = materialise(judged.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("asked_id"), F.col("text_key").alias("asked_key"), stays.alias("stays")), "simhash-asked")
     # only documents that may go are shuffled
-    stay, rest = split_rows(documents.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"))), asked.select(F.xxhash64("doc_id")))
-    kept = stay.unionByName(rest.join(asked, "doc_id", "left_anti")).select(*documents.columns)
-    if not several:
+    stay, rest = split_rows(documents.withColumn("__text", text_key).withColumn("__key", F.xxhash64(doc_id, "__text")), asked.select(F.xxhash64("asked_id", "asked_key")))
+    same = doc_id.eqNullSafe(F.col("asked_id")) & (F.col("__text") == F.col("asked_key"))
+    kept = stay.unionByName(rest.join(asked, same, "left_anti")).select(*documents.columns)
+    several = asked.where("stays")
+    if several.isEmpty():
         return kept
-    one = rest.join(repeated.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = rest.join(several, same, "left_semi").dropDuplicates(["doc_id", "__text"])
     return kept.unionByName(one.select(*documents.columns))
+
+
+def keep_first(documents: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
+    """As keep_each(), but of rows that share a doc_id one at most stays, for users that need unique ids.
+
+    Texts of a shared doc_id without a near-duplicate can be lost here.
+    """
+    kept = materialise(keep_each(documents, distance, width), "simhash-kept")
+    shared = materialise(kept.groupBy(F.col("doc_id").alias("shared_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and shared_id is not null").select("shared_id"), "simhash-shared")
+    same = kept["doc_id"] == shared["shared_id"]
+    return kept.join(shared, same, "left_anti").unionByName(kept.join(shared, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+import corpus_pipeline as p
 from orbitmill.llm import components as c
 from orbitmill.llm import simhash as s
 
@@ -76,6 +77,20 @@ def test_one_of_each_group_stays(spark, documents, make_documents):
     assert as_set(s.keep_first(plain), "doc_id") == [(1,), (3,)]
 
 
+def test_groups_of_shared_and_missing_ids(spark, documents, make_documents):
+    found = p.near_duplicates(spark, documents, "")
+    assert found.schema == documents.schema
+    texts = [(r["doc_id"], r["text"]) for r in found.collect()]
+    prints = [fingerprint(t) for _, t in TEXTS]
+    groups = brute(prints, range(len(TEXTS)))
+    group_of = {fp: g for fp, g in zip(prints, groups, strict=True)}
+    assert sorted(group_of[fingerprint(t)] for _, t in texts) == sorted(set(groups))
+    assert (15, "the same id, another text") in texts and (15, TEXTS[16][1]) in texts
+    odd = [(None, "one two three four"), (None, "one two three four"), (None, "five six seven eight"), (7, "five six seven eight"), (None, None), (None, ""), (7, "nine ten eleven twelve"), (9, "nine ten eleven twelve")]
+    kept = [(r["doc_id"], r["text"] or "") for r in s.keep_each(make_documents(odd).repartition(3)).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, "one two three four"), (7, "five six seven eight"), (None, ""), (7, "nine ten eleven twelve")], key=repr)
+
+
 def test_empty_table(no_documents):
     assert s.simhash_components(no_documents).count() == 0
     assert s.keep_first(no_documents).count() == 0
