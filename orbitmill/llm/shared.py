@@ -10,43 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import scratch_path
+from ..functions.scratch import Scratch, materialise, scratch_path
+
+__all__ = ["Scratch", "materialise", "scratch_path"]
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once to the shared scratch folder and reads it back.
-
-    This cuts lineage, keeps a costly scan from being repeated and survives the
-    loss of executors.
-    """
-    return _written(df, scratch_path(df.sparkSession, tag))
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables that are needed only until a result of theirs is written."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
-        self.paths.append(scratch_path(self.spark, tag))
-        return _written(df, self.paths[-1])
-
-    def drop(self) -> None:
-        """Deletes the tables, by Spark's own file system layer."""
-        jvm = self.spark.sparkContext._jvm
-        for path in self.paths:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        self.paths = []
+def free_name(names: list[str], like: str) -> str:
+    """A column name that isn't among these, whatever the case of letters."""
+    taken, out = {n.lower() for n in names}, f"__{like}"
+    while out in taken:
+        out = f"_{out}"
+    return out
 
 
 @contextmanager
@@ -69,8 +46,8 @@ def _key_bitmap(keys: DataFrame) -> np.ndarray:
     """A bitmap of the leading bits of hashed keys (one long column)."""
     places = keys.toDF("key").select(F.shiftrightunsigned("key", 64 - KEY_BITS).alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("bit"))
     out = np.zeros(1 << (KEY_BITS - 5), np.uint32)
-    for r in places.groupBy("word").agg(F.bit_or("bit").alias("w")).toLocalIterator():
-        out[r["word"]] = r["w"]
+    rows = places.groupBy("word").agg(F.bit_or("bit").alias("w")).toArrow()  # one row a word at most
+    out[rows.column("word").to_numpy()] = rows.column("w").to_numpy().astype(np.uint32)
     return out
 
 

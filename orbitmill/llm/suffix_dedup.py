@@ -6,55 +6,64 @@ cross documents.
 
 Every window of ``LENGTH`` bytes is assigned to the least hash among the grams
 of ``GRAM`` bytes in it, so equal windows are assigned alike wherever they
-stand. Neighbouring windows with the same hash make a segment, and a run of
-segments up to the next one whose hash ends in ``CUT_BITS`` zeros a stretch.
+stand. Neighbouring windows with the same hash make a segment (of ``WINDOWS``
+windows at most; a longer run makes several), and a run of segments up to the
+next one whose hash ends in ``CUT_BITS`` zeros a stretch. A window that stands
+in several documents is always kept in the first of them by what follows, so
+settling copies early never hides a match.
 
 1. Every distinct stretch is noted with its least document in a bitmap of fixed
    size. A stretch and document that aren't noted are a copy of an earlier
-   document's: it is removed from the start, which settles most of what copies
-   and near copies share. A chance hit in the bitmap only leaves it to step 3.
+   document's: it is removed where the text lies, which settles most of what
+   copies and near copies share. A chance hit only leaves it to later steps.
 2. A second bitmap holds the hashes that occur in two documents or more among
    the segments left, made from packed hashes, four bytes each. It only spares
    work: a wrong hit costs time, a hash that repeats is never missed.
-3. Segments left whose hash may repeat are written; equal ones are put together
-   with their least document, as narrow rows. Only those hashes that have
-   several distinct segments need their bytes: these meet in parts by hash, each
-   part is suffix-sorted in two stages, and windows with an adjacent common
-   prefix of ``LENGTH`` bytes share their least document. A hash with more than
-   ``MOST_SEGMENTS`` distinct segments is left out of the parts, and its windows
-   meet by their own bytes instead.
-4. Ranges to remove go back to their documents; only the texts of documents
+3. Segments whose hash may repeat are told apart by their digests, as narrow
+   rows with partial aggregation, and noted with their least document as in 1:
+   again, what isn't noted is removed where the text lies.
+4. What is left of a hash with several distinct segments goes, with its bytes
+   and its place, to parts by hash; each part is suffix-sorted in two stages,
+   and windows with an adjacent common prefix of ``LENGTH`` bytes share their
+   least document. A hash with more than ``MOST_SEGMENTS`` segments would
+   overfill a part; its windows are sorted by Spark, by their own bytes.
+5. Ranges to remove go back to their documents; only the texts of documents
    that may have some are shuffled.
 
 The bitmaps have 2**BITS bits whatever the input. Where it has far more distinct
 stretches or hashes than bits, they spare less work and the result is the same.
-Equal stretches and segments are known by two 64-bit hashes.
+Equal stretches and segments are known by 128-bit BLAKE2b digests of their
+bytes, for which no collision can be made; the hashes of grams only deal work.
 
 Defined results: null text is an empty text; texts of under LENGTH bytes are
 kept whole; a null doc_id counts as larger than all others; rows that share a
 doc_id don't remove from each other; equal rows come out once each; an empty
-table gives no rows. Other columns are not read.
+table gives no rows. Other columns are not read by the report and are passed on
+by remove_repeats(), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, Scratch, arrow_rows, materialise, mixed, packed, powers, split_rows, utf8
+from .shared import U64, Scratch, arrow_rows, free_name, materialise, mixed, packed, powers, split_rows, utf8
 from .suffix_sort import least_by_window
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 28
+#: Windows of one segment at most.
+WINDOWS = 256
 #: Bytes of text scanned at once; a longer text is cut, its windows are not.
 PIECE = 1 << 19
 #: A stretch ends before a segment whose hash ends in so many zeros.
 CUT_BITS = 3
-#: Bits of the prefilter's bitmap: 32 MB.
+#: Bits of a bitmap: 32 MB.
 BITS = 28
 #: Rows handed to Python at a time.
 ROWS = 1000
@@ -62,7 +71,13 @@ ROWS = 1000
 PART_BYTES = 4 << 20
 MOST_SEGMENTS = 20_000
 LAST = (1 << 63) - 1
-_BASE, _BASE_2 = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+_BASE = 0x5851F42D4C957F2D
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2) numbers: the BLAKE2b digests, of 128 bits, of data[start:end]."""
+    made = [blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), "<u8").reshape(-1, 2)
 
 
 class Segments:
@@ -89,25 +104,25 @@ class Segments:
         new = np.ones(len(place), bool)
         new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(place)))
+        if len(count) and count.max() > WINDOWS:
+            parts = -(-count // WINDOWS)
+            step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            first = np.repeat(first, parts) + step * WINDOWS
+            count = np.diff(np.append(first, len(place)))
         self.hash, self.row, self.start = value[first], owner[first], place[first]
-        self.size = np.diff(np.append(first, len(place))) + length - 1
+        self.size = count + length - 1
 
-    def stretches(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, first byte, length in bytes and two hashes of every stretch, and the stretch of each segment."""
+    def stretches(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first byte, end and digest (two numbers) of every stretch, and the stretch of each segment."""
         if not len(self.hash):
-            return self.row, self.start, self.size, self.hash, self.hash, self.row
+            return self.row, self.start, self.size, np.empty((0, 2), U64), self.row
         new = np.ones(len(self.hash), bool)
         new[1:] = (self.row[1:] != self.row[:-1]) | ((self.hash[1:] & U64((1 << CUT_BITS) - 1)) == 0)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(new)) - 1
         start, end = self.start[first], self.start[last] + self.size[last]
-        keys = []
-        for base in (_BASE, _BASE_2):
-            up, down = powers(base, len(buf) + 1)
-            sums = np.zeros(len(buf) + 1, U64)
-            np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=sums[1:])
-            keys.append(mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(U64)))
-        return self.row[first], start, end - start, keys[0], keys[1], np.cumsum(new) - 1
+        return self.row[first], start, end, digests(data, start, end), np.cumsum(new) - 1
 
     def take(self, keep: np.ndarray) -> None:
         self.hash, self.row, self.start, self.size = self.hash[keep], self.row[keep], self.start[keep], self.size[keep]
@@ -136,21 +151,19 @@ def pieces(values: pa.Array, length: int, piece: int = PIECE) -> Iterator[tuple[
         yield np.concatenate([buf[a : a + k] for a, k in zip(at, m, strict=True)]), edge, r, base
 
 
-def noted(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The hash by which a stretch's document is noted."""
-    return mixed(k1 ^ mixed(k2 + mixed(doc.astype(np.int64).view(U64))))
+def noted(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The hash by which the document of a digest (two numbers) is noted."""
+    return mixed(keys[:, 0] ^ mixed(keys[:, 1] + mixed(doc.astype(np.int64).view(U64))))
 
 
 def _left(batch: pa.RecordBatch, length: int, gram: int, firsts: np.ndarray) -> Iterator[tuple]:
-    """Segments outside copied stretches, and these stretches, by piece; columns: doc, text_key, text."""
+    """By piece of a batch (doc, text_key, text): its segments, which of them are in copied stretches, bytes, doc and text_key of its rows, shift."""
     doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     for buf, off, rows, base in pieces(batch.column(2), length):
-        s = Segments(buf, off, length, gram)
-        row, start, size, k1, k2, of = s.stretches(buf)
-        copied = ~in_bitmap(firsts, noted(k1, k2, doc[rows[row]]))
-        s.take(~copied[of])
-        shift = base - off[:-1]
-        yield s, buf, doc[rows], key[rows], shift, (row[copied], start[copied], size[copied])
+        s, data = Segments(buf, off, length, gram), buf.tobytes()
+        row, _, _, keys, of = s.stretches(data)
+        copied = ~in_bitmap(firsts, noted(keys, doc[rows[row]]))
+        yield s, copied[of], data, doc[rows], key[rows], base - off[:-1]
 
 
 def packed_parts(hashes: np.ndarray, part_bits: int) -> pa.RecordBatch:
@@ -176,10 +189,15 @@ def _gathered(hashes: Iterator[np.ndarray], part_bits: int, most: int = 1 << 20)
         yield packed_parts(np.concatenate(held), part_bits)
 
 
+def _numbers(batch: pa.RecordBatch, *columns: int) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy().view(U64) for c in columns], axis=1)
+
+
 def _noted(part_bits: int):
+    """Packs what is noted of rows (k1, k2, doc)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = ([b.column(i).to_numpy() for i in range(3)] for b in batches)
-        yield from _gathered((noted(k1.view(U64), k2.view(U64), doc) for k1, k2, doc in numbers), part_bits)
+        yield from _gathered((noted(_numbers(b, 0, 1), b.column(2).to_numpy()) for b in batches), part_bits)
 
     return run
 
@@ -196,7 +214,8 @@ def _hashes(length: int, gram: int, part_bits: int, firsts):
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            for s, *_ in _left(batch, length, gram, firsts.value):
+            for s, copied, *_ in _left(batch, length, gram, firsts.value):
+                s.take(~copied)
                 order = np.lexsort((s.row, s.hash))
                 h, row = s.hash[order], s.row[order]
                 new = np.ones(len(h), bool)
@@ -241,7 +260,7 @@ def bitmap_of(hashes: DataFrame, part_bits: int, least: int, bits: int = BITS):
     slices = hashes.groupBy("part").applyInArrow(_bits(part_bits, bits, least), "part long, bitmap binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (bits - part_bits - 3)
-    for r in slices.toLocalIterator():
+    for r in slices.collect():  # the bitmap's own size in all
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
     return hashes.sparkSession.sparkContext.broadcast(out)
 
@@ -251,42 +270,6 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> np.nd
     return (bitmap[(place >> U64(3)).astype(np.int64)] >> (np.uint8(7) - (place & U64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
-FOUND = "doc long, text_key long, hash long, segment_key long, start long, size int, segment binary"
-
-
-def _found(length: int, gram: int, firsts, repeated):
-    """Segments whose hash may repeat, and copied stretches (without a segment)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, buf, doc, key, shift, (row, start, size) in _left(batch, length, gram, firsts.value):
-                none = pa.nulls(len(row), pa.int64())
-                if len(row):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[row]), pa.array(key[row]), none, none, pa.array(start + shift[row]), pa.array(size.astype(np.int32)), pa.nulls(len(row), pa.binary())],
-                        _FOUND_NAMES,
-                    )
-                s.take(in_bitmap(repeated.value, s.hash))
-                if not len(s.hash):
-                    continue
-                up, down = powers(_BASE_2, len(buf) + 1)
-                sums = np.zeros(len(buf) + 1, U64)
-                np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=sums[1:])
-                own = mixed((sums[s.start + s.size] - sums[s.start]) * down[s.start] + s.size.astype(U64))
-                edge = np.concatenate([[0], np.cumsum(s.size)])
-                data = buf[np.arange(edge[-1]) + np.repeat(s.start - edge[:-1], s.size)]
-                texts = pa.Array.from_buffers(pa.binary(), len(s.size), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[s.row]), pa.array(key[s.row]), pa.array(s.hash.view(np.int64)), pa.array(own.view(np.int64)), pa.array(s.start + shift[s.row]), pa.array(s.size.astype(np.int32)), texts],
-                    _FOUND_NAMES,
-                )
-
-    return run
-
-
-_FOUND_NAMES = ["doc", "text_key", "hash", "segment_key", "start", "size", "segment"]
-
-
 def _stretch_keys(length: int, gram: int):
     """Stretches of every text: (k1, k2, doc)."""
 
@@ -294,47 +277,72 @@ def _stretch_keys(length: int, gram: int):
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for buf, off, rows, _ in pieces(batch.column(1), length):
-                row, _, _, k1, k2, _ = Segments(buf, off, length, gram).stretches(buf)
-                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(doc[rows[row]])], ["k1", "k2", "doc"])
+                row, _, _, keys, _ = Segments(buf, off, length, gram).stretches(buf.tobytes())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys.T.astype(np.int64)), pa.array(doc[rows[row]])], ["k1", "k2", "doc"])
 
     return run
 
 
-def _texts(bitmap):
-    """Segments whose hash is in the bitmap, equal ones of a batch once with their least document."""
+def _segment_keys(length: int, gram: int, firsts, repeated):
+    """Segments outside copied stretches whose hash may repeat: (hash, k1, k2, doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(0).to_numpy().view(U64))))
-            yield batch.take(pa.array(_least_of_equals(batch)))
+            for s, copied, data, doc, _, _ in _left(batch, length, gram, firsts.value):
+                s.take(~copied & in_bitmap(repeated.value, s.hash))
+                keys = digests(data, s.start, s.start + s.size).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s.hash.view(np.int64)), *map(pa.array, keys.T.astype(np.int64)), pa.array(doc[s.row])], ["hash", "k1", "k2", "doc"])
 
     return run
 
 
-def _in(bitmap):
-    """Keeps the rows whose first column is in the bitmap."""
+SETTLED = "doc long, text_key long, a long, b long, hash long, segment binary"
+_SETTLED = ["doc", "text_key", "a", "b", "hash", "segment"]
+
+
+def _settled(length: int, gram: int, firsts, repeated, own, several):
+    """Ranges that copied stretches and segments cover (without a segment), and segments to sort with their place and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(0).to_numpy().view(U64))))
+            for s, copied, data, doc, key, shift in _left(batch, length, gram, firsts.value):
+                end = s.start + s.size
+                asked = np.flatnonzero(~copied & in_bitmap(repeated.value, s.hash))
+                known = in_bitmap(own.value, noted(digests(data, s.start[asked], end[asked]), doc[s.row[asked]]))
+                copied[asked[~known]] = True
+                asked = asked[known]
+                asked = asked[in_bitmap(several.value, s.hash[asked])]
+                # copied segments of a row that touch make one range
+                at = np.flatnonzero(copied)
+                new = np.ones(len(at), bool)
+                new[1:] = (s.row[at][1:] != s.row[at][:-1]) | (s.start[at][1:] > end[at][:-1])
+                one = np.flatnonzero(new)
+                first, last = at[one], at[np.append(one[1:], len(at)) - 1] if len(at) else at
+                told = np.concatenate([first, asked])
+                row = s.row[told]
+                sorts = np.arange(len(told)) >= len(first)
+                upto = np.concatenate([end[last], end[asked]])
+                texts = [None] * len(first) + [data[a:b] for a, b in zip(s.start[asked].tolist(), end[asked].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc[row]),
+                        pa.array(key[row]),
+                        pa.array(s.start[told] + shift[row]),
+                        pa.array(upto + shift[row]),
+                        pa.array(s.hash[told].view(np.int64), mask=~sorts),
+                        pa.array(texts, pa.binary()),
+                    ],
+                    _SETTLED,
+                )
 
     return run
 
 
-def _least_of_equals(rows) -> np.ndarray:
-    """Of rows with equal hash and segment_key, the one with the least document."""
-    h, k, doc = (np.asarray(rows.column(c)) for c in ("hash", "segment_key", "least"))
-    order = np.lexsort((doc, k, h))
-    new = np.ones(len(order), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])
-    return order[new]
-
-
-SPANS = "array<struct<a:int,b:int>>"
+RANGES = "doc long, text_key long, a long, b long"
 
 
 def _sorted_parts(length: int):
-    """Of each segment the bytes to remove from its least document (spans a to b, of windows that an earlier one has).
+    """Ranges of segments (doc, text_key, a, hash, segment) that hold windows which an earlier document has.
 
     A task has all segments of its hashes, about PART_BYTES of them.
     """
@@ -343,38 +351,36 @@ def _sorted_parts(length: int):
         held = list(batches)
         if not held:
             return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        rows = rows.take(pa.array(_least_of_equals(rows)))
+        rows = pa.Table.from_batches(held)
         _, of, count = np.unique(rows.column("hash").to_numpy(), return_inverse=True, return_counts=True)
         rows = rows.filter(pa.array(count[of] > 1)).combine_chunks()  # a hash with one segment has no other to share windows with
         if not rows.num_rows:
             return
         buf, off = packed(rows.column("segment"))
-        least = rows.column("least").to_numpy()
-        window, edge = least_by_window(buf, off, least, length)
-        hit = window < np.repeat(least, np.diff(edge))
-        upto = np.concatenate([[0], np.cumsum(hit)])
-        some = np.flatnonzero(upto[edge[1:]] > upto[edge[:-1]])
-        spans = [_runs(hit[edge[k] : edge[k + 1]], length) for k in some]
-        told = rows.select(["hash", "segment_key", "least"]).take(pa.array(some))
-        told = told.append_column("spans", pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))))
-        yield from told.to_batches()
+        doc = rows.column("doc").to_numpy()
+        least, edge = least_by_window(buf, off, doc, length)
+        hit = np.flatnonzero(least < np.repeat(doc, np.diff(edge)))
+        of = np.searchsorted(edge, hit, "right") - 1
+        new = np.ones(len(hit), bool)
+        new[1:] = (np.diff(hit) > 1) | (np.diff(of) > 0)
+        first = np.flatnonzero(new)
+        if not len(first):
+            return
+        of, last = of[first], np.append(first[1:], len(hit)) - 1
+        start = rows.column("a").to_numpy()[of] - edge[of]
+        columns = [doc[of], rows.column("text_key").to_numpy()[of], start + hit[first], start + hit[last] + length]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc", "text_key", "a", "b"])
 
     return run
 
 
-def _runs(hit: np.ndarray, length: int) -> list[dict[str, int]]:
-    """Runs of hit windows as byte spans (a, b)."""
-    change = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return [{"a": int(a), "b": int(b) + length - 1} for a, b in zip(change[::2], change[1::2], strict=True)]
-
-
-def _crowded(crowd: DataFrame, length: int) -> DataFrame:
+def _crowded(crowd: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """What _sorted_parts finds, for segments of hashes with too many: windows meet by their bytes."""
     each = crowd.withColumn("i", F.explode(F.expr(f"sequence(0, octet_length(segment) - {length})"))).withColumn("window", F.expr(f"substring(segment, i + 1, {length})"))
-    first = materialise(each.groupBy("window").agg(F.min("least").alias("first")), "crowded-windows")
-    hit = each.join(first, "window").where("first < least").select("hash", "segment_key", "least", F.col("i").alias("a"), (F.col("i") + length).alias("b"))
-    return hit.groupBy("hash", "segment_key", "least").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    first = each.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
+    # a table of its own, so that a hot window's places can be split among join tasks
+    hit = each.join(scratch.table(first, "crowded-windows"), "window").where("least < doc")
+    return hit.select("doc", "text_key", (F.col("a") + F.col("i")).alias("a"), (F.col("a") + F.col("i") + length).alias("b"))
 
 
 def text_key(text: Column) -> Column:
@@ -388,11 +394,8 @@ def _keyed(documents: DataFrame) -> DataFrame:
 def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """doc, text_key, spans: byte spans (a, b) to remove, of the documents that have some; spans may overlap."""
     spark = documents.sparkSession
-    scratch = Scratch(spark)
-    with arrow_rows(spark, ROWS):
-        out = materialise(_removals(_keyed(documents), length, gram, most_segments, scratch), "removals")
-    scratch.drop()
-    return out
+    with arrow_rows(spark, ROWS), Scratch(spark) as scratch:
+        return materialise(_removals(_keyed(documents), length, gram, most_segments, scratch), "removals")
 
 
 def _removals(docs: DataFrame, length: int, gram: int, most_segments: int, scratch: Scratch) -> DataFrame:
@@ -403,39 +406,26 @@ def _removals(docs: DataFrame, length: int, gram: int, most_segments: int, scrat
     firsts = bitmap_of(first.mapInArrow(_noted(part_bits), PACKED), part_bits, 1)
 
     repeated = bitmap_of(docs.mapInArrow(_hashes(length, gram, part_bits, firsts), PACKED), part_bits, 2)
-    found = scratch.table(docs.mapInArrow(_found(length, gram, firsts, repeated), FOUND), "segments")
-    places = found.where("segment is not null").select("hash", "segment_key", "doc", "text_key", "start", "size")
-    for used in (firsts, repeated):
-        used.destroy()
 
-    distinct = scratch.table(places.groupBy("hash", "segment_key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("size").alias("size")), "distinct-segments")
-    several = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("size"), F.min("least").alias("least"), F.max("most").alias("most"))
-    several = scratch.table(several.where("n > 1 and least < most"), "hashes-with-several")
-    sizes = several.agg(F.sum("size"), F.max("n")).collect()[0]
-    several_bits = bitmap_of(several.select("hash").mapInArrow(_plain(part_bits), PACKED), part_bits, 1)
-    texts = found.where("segment is not null").select("hash", "segment_key", "segment", F.col("doc").alias("least"))
-    texts = texts.mapInArrow(_texts(several_bits), "hash long, segment_key long, segment binary, least long")
-    n_parts = max(1, -(-(sizes[0] or 0) // PART_BYTES))
-    rest, crowd = texts, None
-    if (sizes[1] or 0) > most_segments:
-        texts = scratch.table(texts.groupBy("hash", "segment_key", "segment").agg(F.min("least").alias("least")), "segment-texts")
-        crowded = several.where(F.col("n") > most_segments).select("hash")
-        rest, crowd = texts.join(crowded, "hash", "left_anti"), texts.join(crowded, "hash")
-    spans = rest.repartition(n_parts, "hash").mapInArrow(_sorted_parts(length), f"hash long, segment_key long, least long, spans {SPANS}")
-    if crowd is not None:
-        spans = spans.unionByName(_crowded(crowd, length))
-    # later documents lose a segment whole, its least document the spans
-    shared = distinct.where("least < most").select("hash", "segment_key", "least", F.expr(f"cast(null as {SPANS})").alias("spans"))
-    judged = scratch.table(shared.unionByName(spans), "judged-segments")
-    judged_bits = bitmap_of(judged.select("hash").mapInArrow(_plain(part_bits), PACKED), part_bits, 1)
-    near = places.mapInArrow(_in(judged_bits), places.schema)
-    whole = F.when(F.col("doc") > F.col("least"), F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))))
-    own = F.when(F.col("spans").isNull(), whole).when(F.col("doc") == F.col("least"), F.col("spans"))
-    hit = near.join(judged, ["hash", "segment_key"]).select("doc", "text_key", "start", F.explode(own).alias("s"))
-    range_ = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")).alias("range")
-    ranges = hit.select("doc", "text_key", range_(F.col("start") + F.col("s.a"), F.col("start") + F.col("s.b")))
-    copied = found.where("segment is null").select("doc", "text_key", range_(F.col("start"), F.col("start") + F.col("size")))
-    return ranges.unionByName(copied).groupBy("doc", "text_key").agg(F.collect_list("range").alias("spans"))
+    segments = docs.mapInArrow(_segment_keys(length, gram, firsts, repeated), "hash long, k1 long, k2 long, doc long")
+    distinct = scratch.table(segments.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc")), "distinct-segments")
+    own = bitmap_of(distinct.select("k1", "k2", "doc").mapInArrow(_noted(part_bits), PACKED), part_bits, 1)
+    several = distinct.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    several = bitmap_of(several.select("hash").mapInArrow(_plain(part_bits), PACKED), part_bits, 1)
+
+    settled = scratch.table(docs.mapInArrow(_settled(length, gram, firsts, repeated, own, several), SETTLED), "settled")
+    for used in (firsts, repeated, own, several):
+        used.destroy()
+    ranges = settled.where("segment is null").select("doc", "text_key", "a", "b")
+    asked = settled.where("segment is not null").select("doc", "text_key", "a", "hash", "segment")
+    total = asked.agg(F.sum(F.octet_length("segment"))).collect()[0][0] or 0
+    crowds = scratch.table(asked.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_segments).select("hash"), "crowded-hashes")
+    if not crowds.isEmpty():
+        ranges = ranges.unionByName(_crowded(asked.join(crowds, "hash"), length, scratch))
+        asked = asked.join(crowds, "hash", "left_anti")
+    parts = asked.repartition(max(1, -(-total // PART_BYTES)), "hash")
+    ranges = ranges.unionByName(parts.mapInArrow(_sorted_parts(length), RANGES))
+    return ranges.groupBy("doc", "text_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -456,12 +446,13 @@ def without(text: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
 
 
 def parted(documents: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents that have nothing to remove for sure, and the others with their ``__spans`` (or null)."""
-    clean, rest = split_rows(documents.withColumn("__text_key", text_key(F.col("text"))), spans.select("text_key"))
-    clean = clean.drop("__text_key")
-    rest = rest.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    side = spans.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans"))
-    return clean, rest.join(side, ["__doc", "__text_key"], "left").drop("__doc", "__text_key")
+    """The documents that have nothing to remove for sure, and the others with their spans (or null) as last column."""
+    names = documents.columns
+    key, doc, cut = (free_name(names, x) for x in ("text_key", "doc", "spans"))
+    clean, rest = split_rows(documents.withColumn(key, text_key(F.col("text"))), spans.select("text_key"))
+    rest = rest.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    side = spans.select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(cut))
+    return clean.select(*names), rest.join(side, [doc, key], "left").select(*names, cut)
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -492,7 +483,7 @@ def dedup_report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     clean, rest = parted(narrow, removals(narrow, length))
     none = F.lit(0).cast("long")
     untouched = clean.select("doc_id", F.octet_length(utf8("text")).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(utf8("text"), 256).alias("kept_sha256"))
-    return untouched.unionByName(rest.select("doc_id", utf8("text").alias("t"), "__spans").mapInArrow(_report, REPORT))
+    return untouched.unionByName(rest.select("doc_id", utf8("text"), rest.columns[-1]).mapInArrow(_report, REPORT))
 
 
 def _cut(at: int):
@@ -514,5 +505,5 @@ def _cut(at: int):
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all their columns, with repeated strings cut out of their texts."""
     clean, rest = parted(documents, removals(documents, length))
-    cut = rest.select(*documents.columns, "__spans").mapInArrow(_cut(documents.columns.index("text")), documents.schema)
+    cut = rest.mapInArrow(_cut(documents.columns.index("text")), documents.schema)
     return clean.unionByName(cut)

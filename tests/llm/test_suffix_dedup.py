@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orbitmill.llm import suffix_dedup as d
 from orbitmill.llm import suffix_sort
@@ -61,6 +62,59 @@ def test_mosaics(spark, make_documents, monkeypatch):
     assert got == total
 
 
+def thue_morse_pair():
+    """Two texts of 2,848 bytes for which sums of powers of any odd base modulo 2**64 are equal."""
+    rng = random.Random(9)
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    letters = [rng.choice("acegikmoqsuwy") for _ in range(32)]
+    before, after = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(400)) for _ in range(2))
+    return [before + "".join(chr(ord(letters[i // 64]) + (b ^ flip)) for i, b in enumerate(bits)) + after for flip in (0, 1)]
+
+
+def test_equal_sums_are_not_equal_texts(make_documents, monkeypatch):
+    texts = list(enumerate(thue_morse_pair()))
+    for bits in (3, 9):  # short stretches, and such as hold the whole pattern
+        monkeypatch.setattr(d, "CUT_BITS", bits)
+        assert as_set(d.dedup_report(make_documents(texts)), *COLUMNS) == brute(texts)
+    data = [t.encode() for _, t in texts]
+    assert len({d.digests(b, np.array([0]), np.array([len(b)])).tobytes() for b in data}) == 2
+
+
+def test_long_runs_make_bounded_segments(make_documents):
+    texts = [(1, "a" + "=" * 3000 + "b"), (2, "=" * 700 + "c"), (3, "q" * 49 + "=" * 60), (4, "-" * 49 + "q" + "=" * 20)]
+    assert as_set(d.dedup_report(make_documents(texts)), *COLUMNS) == brute(texts)
+    s = d.Segments(np.frombuffer(b"=" * 9000, np.uint8), np.array([0, 9000]), 50, d.GRAM)
+    assert s.size.max() == d.WINDOWS + 49 and (s.size - 49).sum() == 9000 - 49
+
+
+def test_copies_of_copies(make_documents):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    page = [" ".join(word() for _ in range(120)) for _ in range(6)]
+    texts = []
+    for i in range(90):  # whole copies, copies with a word changed, and shared passages in own text
+        kind, t = i % 3, rng.choice(page)
+        if kind == 1:
+            w = t.split()
+            w[rng.randrange(len(w))] = word()
+            t = " ".join(w)
+        elif kind == 2:
+            a = rng.randrange(300)
+            t = " ".join(word() for _ in range(30)) + t[a : a + rng.randint(20, 400)] + " ".join(word() for _ in range(30))
+        texts.append((rng.randint(0, 80), t))
+    assert as_set(d.dedup_report(make_documents(texts).repartition(5)), *COLUMNS) == brute(texts)
+
+
+def test_any_column_names(spark, make_documents):
+    texts = [(1, "x" * 120), (2, "x" * 60), (3, "own text")]
+    docs = make_documents(texts)
+    for name in ("__spans", "__text_key", "__doc", "__Key"):
+        docs = docs.withColumn(name, F.lit("kept"))
+    cut = d.remove_repeats(docs)
+    assert cut.schema == docs.schema
+    assert as_set(cut, "doc_id", "text", "__spans", "__Key") == [(1, "x" * 120, "kept", "kept"), (2, "", "kept", "kept"), (3, "own text", "kept", "kept")]
+
+
 def test_text_is_cut_whole(spark, documents, make_documents):
     cut = d.remove_repeats(documents)
     assert cut.schema == documents.schema and cut.count() == len(TEXTS)
