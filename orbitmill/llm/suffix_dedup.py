@@ -30,7 +30,7 @@ settling copies early never hides a match.
 5. Ranges to remove go back to their documents; only the texts of documents
    that may have some are shuffled.
 
-The bitmaps have 2**BITS bits whatever the input. Where it has far more distinct
+The bitmaps have 2**BITS bits at most. Where an input has far more distinct
 stretches or hashes than bits, they spare less work and the result is the same.
 Equal stretches and segments are known by 128-bit BLAKE2b digests of their
 bytes, for which no collision can be made; the hashes of grams only deal work.
@@ -45,12 +45,15 @@ by remove_repeats(), whatever their names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import U64, Scratch, arrow_rows, free_name, materialise, mixed, packed, powers, split_rows, utf8
@@ -63,7 +66,7 @@ WINDOWS = 256
 PIECE = 1 << 19
 #: A stretch ends before a segment whose hash ends in so many zeros.
 CUT_BITS = 3
-#: Bits of a bitmap: 32 MB.
+#: Bits of a bitmap at most (32 MB), as a power of two; fewer for texts of less than 8 bytes for each.
 BITS = 28
 #: Rows handed to Python at a time.
 ROWS = 1000
@@ -156,13 +159,13 @@ def noted(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mixed(keys[:, 0] ^ mixed(keys[:, 1] + mixed(doc.astype(np.int64).view(U64))))
 
 
-def _left(batch: pa.RecordBatch, length: int, gram: int, firsts: np.ndarray) -> Iterator[tuple]:
+def _left(batch: pa.RecordBatch, length: int, gram: int, firsts: Bitmap) -> Iterator[tuple]:
     """By piece of a batch (doc, text_key, text): its segments, which of them are in copied stretches, bytes, doc and text_key of its rows, shift."""
     doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     for buf, off, rows, base in pieces(batch.column(2), length):
         s, data = Segments(buf, off, length, gram), buf.tobytes()
         row, _, _, keys, of = s.stretches(data)
-        copied = ~in_bitmap(firsts, noted(keys, doc[rows[row]]))
+        copied = ~firsts.has(noted(keys, doc[rows[row]]))
         yield s, copied[of], data, doc[rows], key[rows], base - off[:-1]
 
 
@@ -177,6 +180,29 @@ def packed_parts(hashes: np.ndarray, part_bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[np.concatenate([[0], cut])], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "hashes"])
 
 
+class Bitmap:
+    """A broadcast set of leading bits of hashes; sent compressed, unpacked once in a worker."""
+
+    _held: ClassVar[dict[str, np.ndarray]] = {}
+
+    def __init__(self, spark: SparkSession, bitmap: np.ndarray):
+        self.bits = int(np.log2(len(bitmap))) + 3
+        self.name = uuid.uuid4().hex
+        self.sent = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(bitmap.tobytes()))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        bitmap = self._held.get(self.name)
+        if bitmap is None:
+            while len(self._held) >= 4:  # of an earlier job
+                del self._held[next(iter(self._held))]
+            bitmap = self._held[self.name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.sent.value), np.uint8)
+        place = hashes >> U64(64 - self.bits)
+        return (bitmap[(place >> U64(3)).astype(np.int64)] >> (np.uint8(7) - (place & U64(7)).astype(np.uint8))) & np.uint8(1) > 0
+
+    def destroy(self) -> None:
+        self.sent.destroy()
+
+
 def _gathered(hashes: Iterator[np.ndarray], part_bits: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for h in hashes:
@@ -214,7 +240,7 @@ def _hashes(length: int, gram: int, part_bits: int, firsts):
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            for s, copied, *_ in _left(batch, length, gram, firsts.value):
+            for s, copied, *_ in _left(batch, length, gram, firsts):
                 s.take(~copied)
                 order = np.lexsort((s.row, s.hash))
                 h, row = s.hash[order], s.row[order]
@@ -250,24 +276,24 @@ def _bits(part_bits: int, bits: int, least: int):
 PACKED = "part long, hashes binary"
 
 
-def part_bits_for(total: int, bits: int = BITS) -> int:
+def bits_for(total: int) -> int:
+    """Bits of the bitmaps for so many bytes of text, as a power of two."""
+    return min(max(20, int(np.ceil(np.log2(max(total, 1) / 8)))), BITS)
+
+
+def part_bits_for(total: int, bits: int) -> int:
     """So many parts that the hashes of 16 MB of text make one."""
     return min(max(6, int(np.ceil(np.log2(max(total, 1) / (16 << 20))))), bits - 6)
 
 
-def bitmap_of(hashes: DataFrame, part_bits: int, least: int, bits: int = BITS):
-    """A broadcast bitmap (2**bits bits, packed) of the leading bits of packed hashes that came often enough."""
+def bitmap_of(hashes: DataFrame, part_bits: int, bits: int, least: int) -> Bitmap:
+    """The leading ``bits`` of packed hashes that came ``least`` times or more."""
     slices = hashes.groupBy("part").applyInArrow(_bits(part_bits, bits, least), "part long, bitmap binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (bits - part_bits - 3)
     for r in slices.collect():  # the bitmap's own size in all
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(out)
-
-
-def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
-    place = hashes >> U64(64 - bits)
-    return (bitmap[(place >> U64(3)).astype(np.int64)] >> (np.uint8(7) - (place & U64(7)).astype(np.uint8))) & np.uint8(1) > 0
+    return Bitmap(hashes.sparkSession, out)
 
 
 def _stretch_keys(length: int, gram: int):
@@ -288,8 +314,8 @@ def _segment_keys(length: int, gram: int, firsts, repeated):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, copied, data, doc, _, _ in _left(batch, length, gram, firsts.value):
-                s.take(~copied & in_bitmap(repeated.value, s.hash))
+            for s, copied, data, doc, _, _ in _left(batch, length, gram, firsts):
+                s.take(~copied & repeated.has(s.hash))
                 keys = digests(data, s.start, s.start + s.size).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s.hash.view(np.int64)), *map(pa.array, keys.T.astype(np.int64)), pa.array(doc[s.row])], ["hash", "k1", "k2", "doc"])
 
@@ -305,13 +331,13 @@ def _settled(length: int, gram: int, firsts, repeated, own, several):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, copied, data, doc, key, shift in _left(batch, length, gram, firsts.value):
+            for s, copied, data, doc, key, shift in _left(batch, length, gram, firsts):
                 end = s.start + s.size
-                asked = np.flatnonzero(~copied & in_bitmap(repeated.value, s.hash))
-                known = in_bitmap(own.value, noted(digests(data, s.start[asked], end[asked]), doc[s.row[asked]]))
+                asked = np.flatnonzero(~copied & repeated.has(s.hash))
+                known = own.has(noted(digests(data, s.start[asked], end[asked]), doc[s.row[asked]]))
                 copied[asked[~known]] = True
                 asked = asked[known]
-                asked = asked[in_bitmap(several.value, s.hash[asked])]
+                asked = asked[several.has(s.hash[asked])]
                 # copied segments of a row that touch make one range
                 at = np.flatnonzero(copied)
                 new = np.ones(len(at), bool)
@@ -399,19 +425,21 @@ def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most_
 
 
 def _removals(docs: DataFrame, length: int, gram: int, most_segments: int, scratch: Scratch) -> DataFrame:
-    part_bits = part_bits_for(docs.agg(F.sum(F.octet_length("t"))).collect()[0][0] or 0)
+    total = docs.agg(F.sum(F.octet_length("t"))).collect()[0][0] or 0
+    bits = bits_for(total)
+    part_bits = part_bits_for(total, bits)
+    bitmap = lambda rows, pack, least=1: bitmap_of(rows.mapInArrow(pack, PACKED), part_bits, bits, least)
 
     stretches = docs.select("doc", "t").mapInArrow(_stretch_keys(length, gram), "k1 long, k2 long, doc long")
-    first = stretches.groupBy("k1", "k2").agg(F.min("doc").alias("doc"))
-    firsts = bitmap_of(first.mapInArrow(_noted(part_bits), PACKED), part_bits, 1)
+    firsts = bitmap(stretches.groupBy("k1", "k2").agg(F.min("doc").alias("doc")), _noted(part_bits))
 
-    repeated = bitmap_of(docs.mapInArrow(_hashes(length, gram, part_bits, firsts), PACKED), part_bits, 2)
+    repeated = bitmap(docs, _hashes(length, gram, part_bits, firsts), 2)
 
     segments = docs.mapInArrow(_segment_keys(length, gram, firsts, repeated), "hash long, k1 long, k2 long, doc long")
     distinct = scratch.table(segments.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc")), "distinct-segments")
-    own = bitmap_of(distinct.select("k1", "k2", "doc").mapInArrow(_noted(part_bits), PACKED), part_bits, 1)
+    own = bitmap(distinct.select("k1", "k2", "doc"), _noted(part_bits))
     several = distinct.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    several = bitmap_of(several.select("hash").mapInArrow(_plain(part_bits), PACKED), part_bits, 1)
+    several = bitmap(several.select("hash"), _plain(part_bits))
 
     settled = scratch.table(docs.mapInArrow(_settled(length, gram, firsts, repeated, own, several), SETTLED), "settled")
     for used in (firsts, repeated, own, several):
