@@ -2,11 +2,14 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from orbitmill.llm import components as c
 from orbitmill.llm import simhash as s
 
+from orbitmill.functions.scratch import Scratch
+
 from .conftest import TEXTS, as_set
 
 
@@ -58,7 +61,11 @@ def test_links_within_two_bits(spark):
     for chunk in (4, 1024):
         c.CHUNK, old = chunk, c.CHUNK
         try:
-            linked = {r["node"]: r["component"] for r in c.components(s.close_links(classes)).collect()}
+            with Scratch(spark) as scratch:
+                links = s.close_links(classes, scratch)
+                dealt = c.chunk_pairs(classes.selectExpr("fp", "rep", "fp & 4294967295 as part"), ["part"], "fp", scratch)
+                assert dealt.where("ci < cj").isEmpty() == (chunk > 100)
+                linked = {r["node"]: r["component"] for r in c.components(links, scratch).collect()}
         finally:
             c.CHUNK = old
         got = [linked.get(p, p) for p in prints]
@@ -68,13 +75,20 @@ def test_links_within_two_bits(spark):
 
 
 def test_one_of_each_group_stays(spark, documents, make_documents):
-    kept = s.keep_first(documents)
+    kept = s.keep_each(documents)
     assert kept.schema == documents.schema
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({i for i in ids if i is not None})
     assert 6 in ids and 7 not in ids and None in ids and 12 in ids
     plain = make_documents([(1, "one two three four"), (2, "one two three four"), (3, "something else entirely here")])
-    assert as_set(s.keep_first(plain), "doc_id") == [(1,), (3,)]
+    for name in ("__text", "__key", "__KEY_"):
+        plain = plain.withColumn(name, F.lit("kept"))
+    assert as_set(s.keep_each(plain), "doc_id", "__text", "__key") == [(1, "kept", "kept"), (3, "kept", "kept")]
+
+
+def test_the_row_that_stays_is_always_the_same(make_documents):
+    docs = make_documents([(1, "one two three four")] * 20 + [(2, "one two three four")]).withColumn("lang", F.monotonically_increasing_id().cast("string"))
+    first = {tuple(r) for r in s.keep_each(docs.repartition(5, "lang")).collect()}
+    assert len(first) == 1 and first == {tuple(r) for r in s.keep_each(docs.repartition(2, "lang")).collect()}
 
 
 def test_groups_of_shared_and_missing_ids(spark, documents, make_documents):
@@ -93,7 +107,7 @@ def test_groups_of_shared_and_missing_ids(spark, documents, make_documents):
 
 def test_empty_table(no_documents):
     assert s.simhash_components(no_documents).count() == 0
-    assert s.keep_first(no_documents).count() == 0
+    assert s.keep_each(no_documents).count() == 0
 
 
 def test_components_of_long_chains(spark):
@@ -101,9 +115,10 @@ def test_components_of_long_chains(spark):
     order = list(range(n))
     random.Random(2).shuffle(order)
     chain = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
-    got = {r["component"] for r in c.components(chain).collect()}
-    assert got == {0}
-    assert c.components(chain.limit(0)).count() == 0
+    with Scratch(spark) as scratch:
+        got = {r["component"] for r in c.components(chain, scratch).collect()}
+        assert got == {0}
+        assert c.components(chain.limit(0), scratch).count() == 0
 
 
 def test_forest():
