@@ -26,7 +26,7 @@ def test_article_and_nothing_else():
 def test_broken_markup():
     assert text("<body><article><p><b>one<br><p>two</i></article>") == "one\ntwo"
     assert text("plain text & no tags") == "plain text & no tags"
-    assert text("") == "" and text("<p") == "<p" and text("a < b and <3") == "a < b and <3"
+    assert text("") == "" and text("<p") == "" and text("a < b and <3") == "a < b and <3"
     assert text("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>") == "a\nb\nc\nd"
     assert text("<div>x<script>if (a < b) '</div>'</script>y</div>") == "xy"
     assert text("<article>&#65;&eacute;&unknown; &lt;p&gt;</article>") == "Aé&unknown; <p>"
@@ -39,8 +39,77 @@ def test_names_of_classes():
 
 
 def test_generalised_paths():
-    paths = {p for _, _, path, _ in h.Page(page("<div class='post post-77 Wide'><p>x y z</p></div>")).blocks for p in path}
-    assert "body>div.post.post-#.wide" in paths
+    one, other = (h.Page(page(f"<div class='{c}'><p>x y z</p></div>")) for c in ("post post-77 Wide", "wide post-8 post"))
+    assert h.path_digest("div.post.post-#.wide") in one.path and h.path_digest("div.post.post-#.wide") in other.path
+    assert h.path_digest("div.post") not in one.path
+
+
+def test_names_do_not_overrule_the_text():
+    for wrapper in ("class='page right-sidebar'", "id='side-effects'", "class='comments-page'", "class=sidebar", "class=header", "class='ad-free'", "id=comment"):
+        assert text(page(f"<div {wrapper}><article><h1>Head line</h1>{BODY}</article></div>")) == EXPECTED
+        assert text(page(f"<div {wrapper}><div class=inner><h1>Head line</h1>{BODY}</div><div class=sidebar><p>Other</p></div></div>")) == EXPECTED
+    assert text(f"<body><div class='main right-sidebar'>{BODY}</div><div class=sidebar>x</div></body>") == EXPECTED.split("\n", 1)[1]
+    long = "<p>" + "A sentence that isn't the story's. " * 40 + "</p>"
+    for box in ("class=sidebar", "class='reader-comments'", "class=ad", "id=cookie-notice", "class='relatedStories'", "id=respond"):
+        assert text(page(f"<article><h1>Head line</h1>{BODY}</article><div {box}>{long}</div>")) == EXPECTED
+    assert text(page(f"<article><h1>Head line</h1>{BODY}<div id='side-effects'><p>Some.</p></div></article>")) == EXPECTED + "\nSome."
+
+
+def test_quotes_without_end():
+    assert text('<article><a title="it\'s>two</a> three</article>') == "two three"
+    assert text("<article><p title='>one</p><p>two</p></article>") == "one\ntwo"
+    assert text("<article><p title=\"a>b\" class='c>d'>one</p><p don't>two</p><br/><p/>three</article>") == "one\ntwo\nthree"
+    assert text("<article>one<p class=\"x") == "one" and text("<article>one</article></div x") == "one"
+
+
+def test_time_grows_with_length():
+    import time
+
+    for body in ("<a ", "<b>", "<div>", "<div class=x>", "<a title='", '<p "', "</b>", "<b><hr>", "<p><b></i>", "<", "&", "<!--", "<li>", "<table><td>", "<div><p>x</div>", "<div class=sidebar>x", "<b></div>", "< a=", "a \t"):
+        n = (1 << 20) // len(body)
+        began = time.process_time()
+        h.Page(body * n).text([])
+        h.Page("<b>" * (n // 2) + body * (n // 2)).best()
+        assert time.process_time() - began < 60
+
+
+def plain_extraction(html):
+    """Independent: the blocks of the only article, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.deep, self.out = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.deep += tag == "article"
+            if tag in h.BLOCK:
+                self.out.append([])
+            elif tag == "br":
+                self.out[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in h.BLOCK:
+                self.out.append([])
+            self.deep -= tag == "article"
+
+        def handle_data(self, data):
+            if self.deep:
+                self.out[-1].append(data)
+
+    p = P()
+    p.feed(html)
+    p.close()
+    return "\n".join(t for t in (" ".join("".join(b).split()) for b in p.out) if t)
+
+
+def test_every_page_of_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in h.extract(pages).collect()}
+    want = {i: plain_extraction(t or "") for i, t in html.items()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
 
 
 def test_what_lies_beside_an_inner_box():
