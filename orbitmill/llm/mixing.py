@@ -11,7 +11,9 @@ are a landing problem of at most ``LANDING`` + 2 units, solved by comparing all
 outcomes.
 
 Flights run in blocks of about ``BLOCK`` documents of one source, dealt by a
-hash of the document, so no source is gathered in one task. At most two
+hash of the document and, of documents equal in source, doc_id and size, their
+number among these, so no source and no repeated or missing id is gathered in
+one task. At most two
 documents of a block stay undecided; these and the units it keeps back (the
 blocks of a source take turns among ``LANDING`` sizes, one at least each) meet
 in blocks of the next level. A source lands at the level where it has one block
@@ -23,7 +25,9 @@ Defined results: null text has size 0; a null source is a source of its own,
 ordered last; documents of size 0 may be taken and add nothing; sources whose
 sizes are all 0 have target 0; rows are decided singly even where doc_ids are
 null or repeated (of equal rows it is undefined which one is taken, and they
-are equal); an empty table gives no rows. Other columns are not read.
+are equal); an empty table gives no rows. Other columns are not read. Targets
+are shared in one task over the table of sources, a row of four numbers each, so
+there may be some millions of sources.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import Scratch, materialise
 
 BLOCK = 512
 SEED = 20_240_229
@@ -45,6 +49,8 @@ WEIGHTS = (1, 2, 3)
 LANDING = 12
 #: Their sizes fall by this at most from one to the next; under 2, so that sums of some of them leave no gaps.
 RATIO = 1.8
+#: Equal documents are numbered in runs of so many.
+RUN = 4096
 _TINY = 1e-9
 
 UNIT = "source string, doc_id long, size long, whole int, chance double, block long, blocks long"
@@ -168,30 +174,44 @@ def _flight(seed: int, level: int):
     return run
 
 
+def numbered(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """source, doc_id, size and the number of each row among those equal in all three."""
+    equal = scratch.table(sizes.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "mix-equal")
+    few = equal.where(F.col("n") <= RUN).withColumn("run", F.lit(0).cast("long"))
+    # many equal rows are counted out in runs, each where it is dealt to
+    runs = equal.where(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(RUN)))))
+    every = few.unionByName(runs.repartition("source", "doc_id", "size", "run"))
+    first = F.col("run") * F.lit(RUN)
+    return every.select("source", "doc_id", "size", F.explode(F.sequence(first, F.least(first + F.lit(RUN), F.col("n")) - 1)).alias("number"))
+
+
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted), copies and source of every document."""
-    sizes = materialise(documents.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size")), "mix-sizes")
-    plan = materialise(targets(sizes, weights, most).withColumn("blocks", F.ceil(F.col("n_docs") / F.lit(block)).cast("long")), "mix-targets")
-    side = plan.select(F.col("source").alias("s"), "target", "source_size", "blocks")
-    times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    units = (
-        sizes.join(side, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("times", times)
-        .select("source", "doc_id", "size", F.floor("times").cast("int").alias("whole"), (F.col("times") - F.floor("times")).alias("chance"), F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks")).alias("block"), "blocks")
-    )
-    sure = F.col("chance").isin(0.0, 1.0)
-    wide = max((r[0] for r in plan.agg(F.max("blocks")).collect() if r[0]), default=1)
-    level, decided, todo = 0, [], units
-    while True:
-        last = wide == 1
-        flown = materialise(todo.groupBy("source", "block", "blocks").applyInArrow(_flight(seed, level), UNIT), f"mix-flight-{level}")
-        decided.append(flown.where(sure))
-        if last:
-            break
-        per = block // 2
-        wide = -(-wide // per)
-        todo = flown.where(~sure).withColumn("block", F.floor(F.col("block") / F.lit(per)).cast("long")).withColumn("blocks", F.ceil(F.col("blocks") / F.lit(per)).cast("long"))
-        level += 1
+    with Scratch(documents.sparkSession) as scratch:
+        sizes = documents.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"))
+        sizes = scratch.table(numbered(sizes, scratch), "mix-sizes")
+        plan = targets(sizes, weights, most).withColumn("blocks", F.ceil(F.col("n_docs") / F.lit(block)).cast("long"))
+        side = materialise(plan.select(F.col("source").alias("s"), "target", "source_size", "blocks"), "mix-targets")
+        times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+        dealt = F.pmod(F.xxhash64("doc_id", "size", "number", F.lit(seed)), F.col("blocks"))
+        units = (
+            sizes.join(side, F.col("source").eqNullSafe(F.col("s")))
+            .withColumn("times", times)
+            .select("source", "doc_id", "size", F.floor("times").cast("int").alias("whole"), (F.col("times") - F.floor("times")).alias("chance"), dealt.alias("block"), "blocks")
+        )
+        sure = F.col("chance").isin(0.0, 1.0)
+        wide = side.agg(F.max("blocks")).collect()[0][0] or 1
+        level, decided, todo = 0, [], units
+        while True:
+            last = wide == 1
+            flown = materialise(todo.groupBy("source", "block", "blocks").applyInArrow(_flight(seed, level), UNIT), f"mix-flight-{level}")
+            decided.append(flown.where(sure))
+            if last:
+                break
+            per = block // 2
+            wide = -(-wide // per)
+            todo = flown.where(~sure).withColumn("block", F.floor(F.col("block") / F.lit(per)).cast("long")).withColumn("blocks", F.ceil(F.col("blocks") / F.lit(per)).cast("long"))
+            level += 1
     every = decided[0]
     for part in decided[1:]:
         every = every.unionByName(part)

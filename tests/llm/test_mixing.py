@@ -2,7 +2,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from orbitmill.functions.scratch import Scratch
 from orbitmill.llm import mixing as m
 
 from .conftest import TEXTS, as_set
@@ -58,6 +60,36 @@ def test_targets_and_takes(make_documents, spark):
     assert as_set(again, "doc_id", "taken") == sorted(((r["doc_id"], r["taken"]) for r in out), key=repr)
 
 
+def test_rows_without_ids_are_spread(spark):
+    n = 100_000
+    docs = spark.range(n).selectExpr("cast(null as long) as doc_id", "if(id % 10 = 0, 'small', 'hot') as source", "'one two three' as text")
+    with Scratch(spark) as scratch:
+        dealt = m.numbered(docs.selectExpr("source", "doc_id", "cast(3 as long) as size"), scratch)
+        assert dealt.count() == n and dealt.distinct().count() == n
+        block = F.pmod(F.xxhash64("doc_id", "size", "number", F.lit(m.SEED)), F.lit(n // m.BLOCK))
+        most = dealt.groupBy("source", block).count().agg(F.max("count")).collect()[0][0]
+    assert most < 2 * m.BLOCK
+    out = m.mix(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("copies"))
+    rows = {r["source"]: r for r in out.collect()}
+    assert rows["hot"]["n"] == 90_000 and rows["small"]["n"] == 10_000 and rows["small"]["copies"] == 3
+    assert all(abs(r["taken"] - r["target"]) <= 3 for r in rows.values())
+
+
+def test_takes_equal_a_plain_flight(spark):
+    """One block a source: the mix takes what a flight and landing written out here takes."""
+    rng = np.random.default_rng(12)
+    rows = [(i, f"s{i % 3}", int(x)) for i, x in enumerate(rng.integers(1, 60, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size int").selectExpr("doc_id", "source", "repeat('w ', size) as text")
+    got = {r["doc_id"]: r["taken"] for r in m.mix(docs).collect()}
+    sizes = [sum(x for _, s, x in rows if s == f"s{k}") for k in range(3)]
+    for k, aim in enumerate(fill(sizes, [1, 2, 3])):
+        mine = [(i, x) for i, s, x in rows if s == f"s{k}"]
+        times = aim / sizes[k]
+        size = np.array([x for _, x in mine])
+        drawn = m.land(np.full(len(mine), times - int(times)), size, np.random.default_rng([m.SEED, 0, 0, int.from_bytes(f"s{k}".encode(), "big")]))
+        assert [got[i] for i, _ in mine] == [x * (int(times) + int(c)) for (_, x), c in zip(mine, drawn, strict=True)]
+
+
 def test_odd_rows(documents):
     out = m.mix(documents).collect()
     assert len(out) == len(TEXTS)
