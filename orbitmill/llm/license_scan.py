@@ -5,12 +5,17 @@ characters. All rolling word k-gram hashes of all documents are joined in Spark
 to the positions of the same hashes in the templates. A hit at word ``pos`` of a
 document and ``tpos`` of a template votes for the diagonal ``pos - tpos``;
 neighbouring diagonals of a template are merged into bands, and a band is a
-span of the template if its distinct hits cover enough of the template in not
-much more room than the template takes. A phrase is a template of few words
+candidate span if its distinct positions of the template are enough of it, in
+not much more room than the template takes. A phrase is a template of few words
 that must be covered whole on one diagonal; these are the base places.
 
+Candidates are verified by their words: the texts that have some are read again,
+and a span stands if its words have a common subsequence with the template's of
+``COVER`` of these at least (its share is the span's cover); a phrase must stand
+there word by word. Only texts with candidates are shuffled.
+
 The table of templates is part of this module (its size is checked before it is
-broadcast). Hashes have 64 bits; the votes of a span verify each other.
+broadcast).
 
 Defined results: null text is an empty text, with 0 words, no places, null
 first and last word, empty labels and score 0; rows are known by their doc_id
@@ -27,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, U64, Words, packed, slices, utf8
+from .shared import ALNUM, U64, Words, materialise, packed, slices, split_rows, utf8
 
 #: Words of a gram, in phrases and in longer templates.
 PHRASE_K, TEXT_K = 2, 4
 #: Diagonals this near belong to one band.
 NEAR = 3
-#: Least share of a template's grams that a span must have, and most room it may take.
+#: Least share of a template's grams, and of its words, that a span must have, and most room it may take.
 COVER, ROOM = 0.6, 1.5
 PIECE = 4 << 20
 #: Grams in one row on their way to the join.
@@ -86,14 +91,17 @@ def _gram_list(text: str, k: int) -> list[int]:
     return grams(words, words.hashes(), k).astype(np.int64).tolist()
 
 
+def template_texts() -> list[tuple[str, str, bool]]:
+    """(text, label, is a phrase) of templates 1 and on."""
+    return [(t, label, True) for t, label in PHRASES.items()] + [(t, label, False) for label, texts in TEMPLATES.items() for t in texts]
+
+
 def template_rows() -> list[tuple[int, str, bool, int, int, int]]:
     """(template, label, is a phrase, number of grams, tpos, gram)."""
-    rows, n = [(0, _WORDS_OF, False, 1, 0, _COUNT)], 0
-    for is_phrase, source in ((True, [(t, label) for t, label in PHRASES.items()]), (False, [(t, label) for label, texts in TEMPLATES.items() for t in texts])):
-        for text, label in source:
-            n += 1
-            found = _gram_list(text, PHRASE_K if is_phrase else TEXT_K)
-            rows += [(n, label, is_phrase, len(found), i, g) for i, g in enumerate(found)]
+    rows = [(0, _WORDS_OF, False, 1, 0, _COUNT)]
+    for n, (text, label, is_phrase) in enumerate(template_texts(), 1):
+        found = _gram_list(text, PHRASE_K if is_phrase else TEXT_K)
+        rows += [(n, label, is_phrase, len(found), i, g) for i, g in enumerate(found)]
     return rows
 
 
@@ -144,55 +152,98 @@ def _ragged(flat: pa.Array, first: np.ndarray, last: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat.take(pa.array(index)))
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), utf8("text").alias("t"))
+
+
 def hits(documents: DataFrame, templates: DataFrame) -> DataFrame:
     """doc_id, text_key, template and its fields, tpos, pos: every place of a template's gram in a document."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), utf8("text").alias("t"))
-    runs = docs.mapInArrow(_emit, "doc_id long, text_key long, base int, grams array<long>")
+    runs = _keyed(documents).mapInArrow(_emit, "doc_id long, text_key long, base int, grams array<long>")
     every = runs.select("doc_id", "text_key", "base", F.posexplode("grams").alias("i", "gram"))
     return every.join(templates, "gram").select("doc_id", "text_key", "template", "label", "is_phrase", "n_grams", "tpos", (F.col("base") + F.col("i")).alias("pos"))
 
 
-def spans(documents: DataFrame, templates: DataFrame) -> DataFrame:
-    """Verified spans: doc_id, text_key, template, label, is_phrase, first, last (words, last + 1), cover, copies.
+def candidates(documents: DataFrame, templates: DataFrame) -> DataFrame:
+    """Bands with enough votes: doc_id, text_key, template, first, last (words, last + 1), copies.
 
     Template 0 has one row for each document, with its number of words as ``first``.
     """
     once = hits(documents, templates).withColumn("diagonal", F.col("pos") - F.col("tpos"))
-    once = once.groupBy("doc_id", "text_key", "template", "label", "is_phrase", "n_grams", "diagonal", "tpos").agg(F.count(F.lit(1)).alias("copies"))
+    known = ["doc_id", "text_key", "template", "is_phrase", "n_grams"]
+    once = once.groupBy(*known, "diagonal", "tpos").agg(F.count(F.lit(1)).alias("copies"))
     once = once.repartition("doc_id", "text_key")
-    known = ["doc_id", "text_key", "template", "label", "is_phrase", "n_grams"]
-    voted = once.groupBy(*known, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.max("copies").alias("copies"), F.min("tpos").alias("t0"), F.max("tpos").alias("t1"))
-    ordered = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("is_phrase") | (F.col("template") == 0) | (F.col("diagonal") - F.lag("diagonal").over(ordered) > NEAR), F.lit(True))
-    banded = voted.withColumn("apart", apart).withColumn("band", F.sum(F.col("apart").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal", "tpos")
+    step = F.col("diagonal") - F.lag("diagonal").over(ordered)
+    apart = F.coalesce(step > F.when(F.col("is_phrase") | (F.col("template") == 0), F.lit(0)).otherwise(F.lit(NEAR)), F.lit(True))
+    banded = once.withColumn("apart", apart).withColumn("band", F.sum(F.col("apart").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.col("diagonal") + F.col("tpos")
+    # a position of the template votes once in a band, on however many of its diagonals
+    by_position = banded.groupBy(*known, "band", "tpos").agg(F.max("copies").alias("copies"), F.min(place).alias("first"), F.max(place).alias("at"))
+    joined = by_position.groupBy(*known, "band").agg(F.count(F.lit(1)).alias("votes"), F.max("copies").alias("copies"), F.min("first").alias("first"), F.max("at").alias("at"))
     k = F.when(F.col("is_phrase"), PHRASE_K).otherwise(TEXT_K)
-    joined = banded.groupBy(*known, "band").agg(
-        F.sum("votes").alias("votes"),
-        F.max("copies").alias("copies"),
-        F.min(F.col("diagonal") + F.col("t0")).alias("first"),
-        F.max(F.col("diagonal") + F.col("t1")).alias("at"),
-    )
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
     room = F.col("at") - F.col("first") + k
     whole = F.col("votes") == F.col("n_grams")
-    enough = (cover >= COVER) & (room <= F.lit(ROOM) * (F.col("n_grams") + k - 1))
+    enough = (F.col("votes") >= F.lit(COVER) * F.col("n_grams")) & (room <= F.lit(ROOM) * (F.col("n_grams") + k - 1))
     kept = joined.where((F.col("template") == 0) | F.when(F.col("is_phrase"), whole).otherwise(enough))
-    return kept.select("doc_id", "text_key", "template", "label", "is_phrase", "first", (F.col("at") + k).alias("last"), cover.alias("cover"), "copies")
+    return kept.select("doc_id", "text_key", "template", F.col("first").cast("int").alias("first"), (F.col("at") + k).cast("int").alias("last"), "copies")
+
+
+def common_words(span: list[bytes], template: list[bytes]) -> int:
+    """Length of the longest common subsequence of words, a bit for each word of the template."""
+    at: dict[bytes, int] = {}
+    for i, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << i
+    whole, row = (1 << len(template)) - 1, (1 << len(template)) - 1
+    for w in span:
+        both = row & at.get(w, 0)
+        row = ((row + both) | (row - both)) & whole
+    return len(template) - row.bit_count()
+
+
+def verified(text: bytes, spans: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int, float]]]:
+    """Number of words of a text, and the (template, first, last, cover) of its candidates that its words bear out."""
+    words = text.translate(ALNUM).split()
+    known = template_texts()
+    out = []
+    for template, first, last in spans:
+        said, _, is_phrase = known[template - 1]
+        want = said.encode().split()
+        if is_phrase:
+            if words[first : first + len(want)] == want:
+                out.append((template, first, first + len(want), 1.0))
+        elif (n := common_words(words[first:last], want)) >= COVER * len(want):
+            out.append((template, first, last, n / len(want)))
+    return len(words), out
+
+
+RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The result's rows of texts with candidates (doc_id, text, candidates)."""
+    known = template_texts()
+    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
+    for batch in batches:
+        rows = []
+        for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            n, found = verified(text.as_py(), [(s["template"], s["first"], s["last"]) for s in spans])
+            base = [(first, known[t - 1][1]) for t, first, _, _ in found if known[t - 1][2]]
+            labels = {known[t - 1][1] for t, _, _, _ in found}
+            places = [p for p, _ in base]
+            rows.append((doc, n, len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), max((c for *_, c in found), default=0.0)))
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in RESULT.split(", ")])
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
-    found = spans(documents, template_table(documents.sparkSession))
-    is_text, base = F.col("template") > 0, F.col("is_phrase")
-    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    by_doc = found.groupBy("doc_id", "text_key").agg(
-        F.max(F.when(~is_text, F.col("first"))).cast("long").alias("n_words"),
-        F.max(F.when(~is_text, F.col("copies"))).cast("int").alias("copies"),
-        F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
-        names(F.when(base, F.col("label"))).alias("base_labels"),
-        names(F.when(is_text, F.col("label"))).alias("labels"),
-        F.coalesce(F.max(F.when(is_text, F.col("cover"))), F.lit(0.0)).alias("score"),
-    )
-    return by_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    found = materialise(candidates(documents, template_table(documents.sparkSession)), "license-candidates")
+    spans = found.where("template > 0").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("template", "first", "last"))).alias("spans"))
+    spans = materialise(spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "spans"), "license-spans")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+    none = F.lit(None).cast("long")
+    clean = found.where("template = 0").join(spans, same, "left_anti").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    clean = clean.select("doc_id", F.col("first").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_base"), none.alias("first_word"), none.alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
+    docs = _keyed(documents)
+    _, asked = split_rows(docs.select("doc_id", "t", "text_key"), spans.select("k"))
+    return clean.unionByName(asked.join(spans, same).select("doc_id", "t", "spans").mapInArrow(_verify, RESULT))
