@@ -6,32 +6,34 @@ with fewer words, but not none, is one window. Training documents are scanned
 whole: each run of words whose 64-bit hash is in the set is compared with the
 item's own words, and a verified run marks its words as hit.
 
-The set is broadcast in slices of at most ``MOST_WINDOWS`` windows, so its size
-is bounded whatever the benchmark's; a larger benchmark costs further scans, of
-a numbered copy of the texts, by whose numbers the scans are put together.
+The items' windows are made and put together in Spark, as a table of distinct
+windows. The set is broadcast in slices of that table of about ``MOST_WINDOWS``
+windows and ``MOST_BYTES`` bytes with their items' ids, by a hash of the window,
+so neither the driver nor a task holds more of a benchmark than that, however
+large it is; a larger benchmark costs further scans, of a copy of the texts whose
+rows are numbered once, by whose numbers the scans are put together.
 
 Defined results: a null or empty text has no words and is clean; items without
 words have no window; items that share an item_id are one item; a null item_id
 is an item listed as an empty string; repeated documents are each judged alike;
-empty tables give no rows, or no hits. Other columns are not read.
+empty tables give no rows, or no hits. Other columns are not read by the
+judgement and are passed on by drop_contaminated(), whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, U64, Words, materialise, packed, slices, utf8
+from .shared import ALNUM, U64, Scratch, Words, free_name, materialise, packed, slices, utf8
 
 WIDTH = 13
-#: Windows of one broadcast slice; about 200 bytes each with their words.
-MOST_WINDOWS = 200_000
+#: Windows of one broadcast slice (about 200 bytes each with their words) and bytes of their words and items' ids, on average.
+MOST_WINDOWS, MOST_BYTES = 200_000, 48 << 20
 #: Bytes of text handled at once.
 PIECE = 4 << 20
 
@@ -41,7 +43,7 @@ HITS = "doc_id long, text_key long, n_words long, spans array<struct<first:int,l
 class WindowSet:
     """Verified look-up of n-gram hashes, for windows of one number of words."""
 
-    def __init__(self, width: int, windows: dict[bytes, set[str]]):
+    def __init__(self, width: int, windows: dict[bytes, list[str]]):
         self.width = width
         grams = [Words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), ALNUM) for w in windows]
         keys = np.array([g.grams(g.hashes(), width)[0] for g in grams], U64)
@@ -72,15 +74,27 @@ class WindowSet:
                 k += 1
 
 
-def windows_of(items: list[tuple[str, bytes]], width: int = WIDTH) -> dict[int, dict[bytes, set[str]]]:
-    """Number of words -> window's words, joined by a blank -> ids of the items that have it."""
-    out: dict[int, dict[bytes, set[str]]] = {}
-    for item, text in items:
-        words = text.translate(ALNUM).split()
-        n = min(width, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            out.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), set()).add(item)
-    return out
+def _windows(width: int):
+    """Windows of items (item, text): number of words, the words joined by blanks, item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = text.as_py().translate(ALNUM).split()
+                n = min(width, len(words))
+                last = len(words) - n + 1 if n else 0
+                for k in range(0, last, 10_000):
+                    found = [b" ".join(words[i : i + n]) for i in range(k, min(last, k + 10_000))]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array([item] * len(found), pa.string())], ["n", "said", "item"])
+
+    return run
+
+
+def window_table(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """n, said, items: the distinct windows of a benchmark and the ids of the items that have them."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8("text").alias("t"))
+    windows = items.mapInArrow(_windows(width), "n int, said binary, item string")
+    return windows.groupBy("n", "said").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def _scan(sets: list[WindowSet]):
@@ -126,41 +140,50 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _sliced(windows: dict[int, dict[bytes, set[str]]], most: int) -> Iterator[list[WindowSet]]:
-    flat = [(n, w, ids) for n, x in sorted(windows.items()) for w, ids in sorted(x.items())]
-    for k in range(0, max(len(flat), 1), most):
-        part: dict[int, dict[bytes, set[str]]] = {}
-        for n, w, ids in flat[k : k + most]:
-            part.setdefault(n, {})[w] = ids
-        yield [WindowSet(n, x) for n, x in part.items()]
+def window_sets(windows: DataFrame, most: int = MOST_WINDOWS) -> list[Callable[[], list[WindowSet]]]:
+    """Makers of the slices' sets, one at least; each reads its slice to the driver when it is called."""
+    size = F.octet_length("said") + F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i))
+    n, n_bytes = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).collect()[0]
+    parts = max(1, -(-n // most), -(-n_bytes // MOST_BYTES))
+
+    def make(k: int) -> list[WindowSet]:
+        by_width: dict[int, dict[bytes, list[str]]] = {}
+        for row in windows.where(F.pmod(F.xxhash64("n", "said"), F.lit(parts)) == k).orderBy("n", "said").toArrow().to_pylist():
+            by_width.setdefault(row["n"], {})[row["said"]] = row["items"]
+        return [WindowSet(w, x) for w, x in by_width.items()]
 
+    return [lambda k=k: make(k) for k in range(parts)]
 
-def benchmark_items(benchmark: DataFrame) -> Iterator[tuple[str, bytes]]:
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), utf8("text").alias("t"))
-    for row in rows.toLocalIterator():
-        yield row["i"], bytes(row["t"])
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of several scans as disjoint spans."""
+    for batch in batches:
+        spans = [_merged([(s["first"], s["last"]) for s in every]) for every in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), batch.column(4)],
+            ["doc_id", "text_key", "n_words", "spans", "items"],
+        )
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST_WINDOWS) -> DataFrame:
     """One row per document: a hash of its text, its number of words, the hit spans of words, the items found."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), utf8("text").alias("t"))
-    sliced = _sliced(windows_of(list(benchmark_items(benchmark)), width), most)
-    first, second = next(sliced), next(sliced, None)
-    if second is None:
-        return docs.mapInArrow(_scan(first), HITS)
-    # Further slices: rows are numbered once and for all, as jobs may split or order the same input differently.
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "*"), "numbered")
-    numbered = [materialise(rows.mapInArrow(_scan(sets), f"row long, {HITS}"), "hits") for sets in chain((first, second), sliced)]
-    every = numbered[0]
-    for s in numbered[1:]:
-        every = every.unionByName(s)
-    joined = every.groupBy("row", "doc_id", "text_key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.expr("cast(array() as array<struct<first:int,last:int>>)"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(done, F.array(s))),
-    )
-    return joined.select("doc_id", "text_key", "n_words", merged.alias("spans"), "items")
+    with Scratch(documents.sparkSession) as scratch:
+        makers = window_sets(scratch.table(window_table(benchmark, width), "windows"), most)
+        if len(makers) == 1:
+            return docs.mapInArrow(_scan(makers[0]()), HITS)
+        return _scanned_by_slices(docs, makers, scratch)
+
+
+def _scanned_by_slices(docs: DataFrame, makers: list[Callable[[], list[WindowSet]]], scratch: Scratch) -> DataFrame:
+    # rows are numbered once and for all, as jobs may split or order the same input differently
+    rows = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), "*"), "numbered")
+    every = [scratch.table(rows.mapInArrow(_scan(make()), f"row long, {HITS}"), "hits") for make in makers]
+    union = every[0]
+    for part in every[1:]:
+        union = union.unionByName(part)
+    joined = union.groupBy("row", "doc_id", "text_key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return materialise(joined.drop("row").mapInArrow(_put_together, HITS), "hits-of-all")
 
 
 def n_hit() -> Column:
@@ -207,24 +230,42 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = W
     depends on the hits of all slices together; then those found are joined by id
     and a hash of their text.
     """
-    slices_ = list(_sliced(windows_of(list(benchmark_items(benchmark)), width), most))
-    if len(slices_) > 1:
-        bad = find_hits(documents, benchmark, width, most).withColumn("n_hit", n_hit()).where(is_contaminated(F.col("n_hit"), F.col("n_words")))
-        bad = materialise(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct(), "contaminated")
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_key"))
-        return documents.join(bad, same, "left_anti")
-    with_bytes = documents.select("*", utf8("text").alias("__text_bytes"))
-    return with_bytes.mapInArrow(_judge(slices_[0]), documents.schema)
-
-
-def remove_spans(words: list[str], spans: list[tuple[int, int]]) -> list[str]:
-    """The words outside the spans (first, last + 1)."""
+    with Scratch(documents.sparkSession) as scratch:
+        makers = window_sets(scratch.table(window_table(benchmark, width), "windows"), most)
+        if len(makers) == 1:
+            name = free_name(documents.columns, "text_bytes")
+            return documents.withColumn(name, utf8("text")).mapInArrow(_judge(makers[0]()), documents.schema)
+    bad = find_hits(documents, benchmark, width, most).withColumn("n_hit", n_hit()).where(is_contaminated(F.col("n_hit"), F.col("n_words")))
+    bad = materialise(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct(), "contaminated")
+    same = F.col("doc_id").cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == bad["bad_key"])
+    return documents.join(bad, same, "left_anti")
+
+
+def drop_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these spans of words (first, last + 1), from each span's first letter to its last."""
+    data = text.encode()
+    words = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM)
     keep, at = [], 0
     for a, b in spans:
-        keep += words[at:a]
-        at = b
-    return keep + words[at:]
+        keep.append(data[at : words.start[a]])
+        at = int(words.end[b - 1])
+    return b"".join([*keep, data[at:]]).decode()
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def remove_spans(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST_WINDOWS) -> DataFrame:
+    """The documents, all their columns, with the hit spans cut out of their texts instead of dropping documents."""
+    hit = materialise(find_hits(documents, benchmark, width, most).where(F.size("spans") > 0).select("text_key", "spans").dropDuplicates(["text_key"]), "hit-spans")
+    names = documents.columns
+    key, cut = free_name(names, "text_key"), free_name(names, "spans")
+    joined = documents.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(hit.toDF(key, cut), key, "left").select(*names, cut)
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                t if t is None or s is None else drop_spans(t, [(x["first"], x["last"]) for x in s])
+                for t, s in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, documents.schema)

@@ -78,6 +78,22 @@ def test_twentieth(spark, make_documents):
     assert got == [(1, 40, True), (2, 41, False)]
 
 
-def test_remove_spans():
-    assert d.remove_spans(list("abcdef"), [(1, 3), (5, 6)]) == ["a", "d", "e"]
-    assert d.items_digest(["10", "2"]) == hashlib.sha256(b"10,2").hexdigest()
+def test_remove_spans(spark, make_documents):
+    assert d.drop_spans("One, two; three! four.", [(1, 3)]) == "One, ! four."
+    docs = make_documents([(1, "A Lazy, dog lies. NAÏVE?"), (2, "nothing here"), (3, None), (4, "")]).withColumn("__spans", F.lit("s"))
+    cut = d.remove_spans(docs, benchmark(spark))
+    assert cut.schema == docs.schema
+    assert as_set(cut, "doc_id", "text", "__spans") == [(1, "A  lies. NAÏVE?", "s"), (2, "nothing here", "s"), (3, None, "s"), (4, "", "s")]
+
+
+def test_windows_of_a_benchmark(spark):
+    found = d.window_table(benchmark(spark, [*ITEMS, (5, "Lazy; dog!"), (5, "a lazy dog")]), 2)
+    got = {(r["n"], bytes(r["said"])): r["items"] for r in found.collect()}
+    assert got[2, b"lazy dog"] == ["2", "5"] and got[2, b"mit license"] == [""] and (2, b"a lazy") in got
+    assert len(d.window_sets(found, most=3)) == -(-len(got) // 3)
+
+
+def test_clashing_names(spark, documents):
+    docs = documents.withColumn("__text_bytes", F.lit("mine"))
+    kept = d.drop_contaminated(docs, benchmark(spark))
+    assert kept.schema == docs.schema and kept.select("__text_bytes").distinct().collect() == [("mine",)]
