@@ -19,7 +19,8 @@ so reruns agree.
 Defined results: null text is an empty text; a text without words gets the
 score of an empty window; a null doc_id counts as an empty text in the hash of
 held_out; labels that are null or without doc_id are not used, and of several
-labels of one document the greatest holds; without labels of both classes every
+labels of one document the greatest holds; of texts that share a doc_id the
+least trains; without labels of both classes every
 score is 0; repeated rows are scored alike; an empty table gives no rows. Other
 columns are not read.
 """
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, U64, Words, packed, slices, utf8
+from .shared import ALNUM, U64, Words, free_name, packed, slices, utf8
 
 WINDOW, STRIDE = 48, 32
 FOLDS = 5
@@ -47,9 +48,9 @@ GRAMS = (3, 5)
 EMBED = 4
 STEADY = 1.0
 EPOCHS, BATCH, RATE = 6, 128, 0.01
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Windows run at once.
-ROWS = 4096
+ROWS = 2048
 
 
 def held_out(doc_id: Column) -> Column:
@@ -414,7 +415,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE)
     order = F.xxhash64("doc_id", F.lit(SEED))
     picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most) for y in (0, 1)]
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
-    rows = text.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy("doc_id", "t").limit(4 * most).collect()
+    # of rows that share a doc_id one text, the least: so many texts as ids at most
+    rows = text.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("t").alias("t")).orderBy("doc_id").collect()
     return [bytes(r["t"]) for r in rows], [int(r["toxic"]) for r in rows]
 
 
@@ -435,4 +437,4 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
             keep = pa.array(batch.column(batch.num_columns - 1).to_numpy() < 0.5)
             yield batch.select(range(batch.num_columns - 1)).filter(keep)
 
-    return documents.select("*", utf8("text").alias("__text_bytes")).mapInArrow(run, documents.schema)
+    return documents.withColumn(free_name(documents.columns, "text_bytes"), utf8("text")).mapInArrow(run, documents.schema)
