@@ -33,7 +33,7 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 BLOCKS = 4
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def fingerprint(hashes: np.ndarray) -> int:
