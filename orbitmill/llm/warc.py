@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, scratch_path, utf8
+from ..functions.scratch import written
+from .shared import Scratch, materialise, utf8
 
 MAGIC = 0x184D2A5D
 REVISIT_BYTES = 1000
@@ -117,9 +118,16 @@ def leading_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", MAGIC, len(held)) + held
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there, also by the names that Spark has for object stores."""
+    scheme, sep, rest = folder.partition("://")
+    name = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "gcs": "gs"}.get(scheme, scheme)
+    return fs.FileSystem.from_uri(f"{name}{sep}{rest}")
+
+
 def _write(folder: str, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         store.create_dir(root)
         task = TaskContext.get()
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
@@ -166,7 +174,7 @@ def frames(source, chunk: int = 1 << 16) -> Iterator[bytes]:
 
 def _read(folder: str, batch_rows: int = 1000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = store_of(folder)
         names = RECORDS.replace(" long", "").replace(" string", "").split(", ")
         kinds = [pa.int64() if " long" in c else pa.string() for c in RECORDS.split(", ")]
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)], names)
@@ -197,7 +205,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     keyed = own.withColumn("digest", F.when(n >= REVISIT_BYTES, F.concat(F.sha1("html"), n.cast("string"))))
     repeated = keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and response is not null")
     # a table of its own, so that the copies of a page can be split among join tasks
-    judged = keyed.join(materialise(repeated.select("digest", "response"), "repeated-pages"), "digest", "left").select("page_id", "url", "html", "response")
+    judged = keyed.join(written(repeated.select("digest", "response"), f"{folder}/repeated"), "digest", "left").select("page_id", "url", "html", "response")
     names = judged.mapInArrow(_write(f"{folder}/archives", dictionary), "path string, n_records long").where("path is not null")
     names.write.parquet(f"{folder}/names")
     return spark.read.schema("path string, n_records long").parquet(f"{folder}/names")
@@ -210,10 +218,11 @@ def read_archives(names: DataFrame, folder: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to as read from the archives written."""
-    folder = scratch_path(pages.sparkSession, "warc")
-    read = read_archives(write_archives(pages, folder), folder)
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """page_id, payload_bytes, payload_digest, record_type and refers_to as read from the archives written, which are then deleted."""
+    with Scratch(pages.sparkSession) as scratch:
+        folder = scratch.folder("warc")
+        read = read_archives(write_archives(pages, folder), folder)
+        return materialise(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
 
 
 ORACLE = f"""

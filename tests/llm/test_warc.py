@@ -79,5 +79,11 @@ def test_trained_dictionary_helps():
     assert sum(len(known.compress(r)) for r in records[200:]) < 0.6 * sum(len(plain.compress(r)) for r in records[200:])
 
 
+def test_names_of_object_stores():
+    kind = lambda folder: (type(w.store_of(folder)[0]).__name__, w.store_of(folder)[1])
+    assert kind("s3a://bucket/a/b?region=x") == ("S3FileSystem", "bucket/a/b")
+    assert kind("file:///tmp/a") == kind("/tmp/a") == ("LocalFileSystem", "/tmp/a")
+
+
 def test_empty_table(make_pages):
     assert w.archive_round_trip(make_pages([])).count() == 0
