@@ -9,7 +9,8 @@ those (labels, path length) shapes that occur in the list. A candidate hashes
 to one 64-bit block of the filter and to four bits in it; only candidates
 whose bits are all set go on to the exact join with the rules, which removes
 false positives. The filter's blocks and the rules are broadcast only up to
-``MOST_BLOCKS`` and ``MOST_RULES`` rows; beyond, the same joins are shuffled.
+``MOST_BLOCKS`` and ``MOST_RULES`` rows, the URLs with rules up to
+``MOST_RULES`` rows; beyond, the same joins are shuffled.
 
 Defined results: a null URL, or one without ``://``, has an empty host and an
 empty path and fits no rule; the longest rule wins, of equally long ones that
@@ -107,8 +108,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow") ->
     possible = candidates.withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block").where(_bits(F.col("key")).bitwiseAND(F.col("word")) == _bits(F.col("key")))
     fits = possible.join(exact, possible["key"] == exact["rule"])
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "verdict", "rule")).alias("best")).select(F.col("host").alias("h"), F.col("path").alias("p"), "best")
-    # a table of its own, so that the pages of a hot URL can be split among join tasks
+    # a table of its own, so that the pages of a hot URL can be split among join tasks; broadcast only up to a checked number of rows
     best = materialise(best, "url-rules")
+    best = F.broadcast(best) if best.limit(MOST_RULES + 1).count() <= MOST_RULES else best.hint("merge")
     return urls.join(best, (urls["host"] == best["h"]) & (urls["path"] == best["p"]), "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(unlisted)).alias("verdict")
     )
