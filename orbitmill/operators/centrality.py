@@ -36,6 +36,15 @@ class Result:
     def edges_per_second(self, nnz: int) -> float:
         return nnz * self.iterations / self.runtime_seconds if self.runtime_seconds else 0.0
 
+    def gflops(self, nnz: int) -> float:
+        """A multiplication and an addition for each edge and iteration."""
+        return 2e-9 * self.edges_per_second(nnz)
+
+    def gigabytes_per_second(self, nnz: int, edge_numbers: int = 2, vectors: int = 2) -> float:
+        """By a model of numbers of four bytes: so many for each edge, row starts, and so many vectors."""
+        each = 4 * (edge_numbers * nnz + self.n + 1 + vectors * self.n)
+        return 1e-9 * each * self.iterations / self.runtime_seconds if self.runtime_seconds else 0.0
+
 
 def stopped(criterion: str, l1: float, l2: float, n: int, tol: float) -> bool:
     """Whether a step's change is small enough, by one of four rules."""
@@ -71,19 +80,16 @@ def power_iteration(
     began = time.perf_counter()
     stopped(criterion, 0.0, 0.0, 1, tol)
     space = space_of(graph, direction, shift, strategy)
-    if not space.n:
-        return _empty(graph.edges.sparkSession, began)
     try:
-        x, size, residual, converged, step = space.uniform(), 0.0, float("inf"), False, 0
+        if not space.n:
+            return _empty(graph.edges.sparkSession, began)
+        x, residual, converged, step = space.uniform(), float("inf"), False, 0
         while step < max_iter and not converged:
-            y = space.product(x)
-            size = space.norm(y)
+            x, size, l1, l2 = space.step(x)
             if size == 0.0:
                 break
-            y = space.combined([(1.0 / size, y)])
-            l1, l2 = space.residuals(y, x)
             residual = l2 if criterion == "l2" else l1 / space.n if criterion == "mean_l1" else l1
-            x, step = y, step + 1
+            step += 1
             converged = stopped(criterion, l1, l2, space.n, tol)
         value = _rayleigh(space, x) - (1.0 if shift else 0.0)
         return Result(space.scores(x), converged, step, residual, value, space.n, time.perf_counter() - began)
@@ -125,9 +131,9 @@ def lanczos(graph: Graph, m: int = 50, seed: int | None = 42, direction: str = "
     """
     began = time.perf_counter()
     space = space_of(graph, direction, False, strategy)
-    if not space.n:
-        return _empty(graph.edges.sparkSession, began)
     try:
+        if not space.n:
+            return _empty(graph.edges.sparkSession, began)
         basis = [space.uniform() if seed is None else space.random(seed)]
         alpha: list[float] = []
         beta: list[float] = []
@@ -145,7 +151,7 @@ def lanczos(graph: Graph, m: int = 50, seed: int | None = 42, direction: str = "
             done = beta[j] < breakdown
             if done or j + 1 == min(m, space.n):
                 break
-            basis.append(space.combined([(1.0 / beta[j], w)]))
+            basis.append(space.combined([(1.0 / beta[j], w)], keep=True))
         value, y = tridiagonal_leader(alpha, beta)
         x = space.signed(space.combined([(float(f), v) for f, v in zip(y, basis, strict=True)]))
         size = space.norm(x)

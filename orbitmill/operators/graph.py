@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import dense_index, running_sum
+from ..functions.scratch import materialise
+from .prefix import dense_index, running_sum, running_sums
 
 
 @dataclass(frozen=True)
@@ -57,14 +58,20 @@ def unweighted(graph: Graph) -> Graph:
     return Graph(edge_columns(graph.edges.select("src", "dst")), graph.directed)
 
 
+def counted_ends(edges: DataFrame, row: str = "src", col: str = "dst") -> DataFrame:
+    """id of every end of an edge and d, in how many edges it is the ``row``; one pass over the edges."""
+    end = lambda c, n: F.struct(F.col(c).alias("id"), F.lit(n).cast("long").alias("d"))
+    return edges.select(F.explode(F.array(end(row, 1), end(col, 0))).alias("e")).groupBy("e.id").agg(F.sum("e.d").alias("d"))
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     """node_id of every end of an edge."""
-    return edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
 
 
 def vertex_index(edges: DataFrame) -> DataFrame:
     """node_id and idx, its place in ascending order from 0."""
-    return dense_index(vertices(edges), "node_id")
+    return dense_index(materialise(vertices(edges), "vertices"), "node_id")
 
 
 def encoded(edges: DataFrame, index: DataFrame) -> DataFrame:
@@ -87,22 +94,19 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """node_id and its number of edges out; vertices without any have 0."""
-    out = edges.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
-    return vertices(edges).join(out, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    return counted_ends(edges).select(F.col("id").alias("node_id"), F.col("d").alias("degree"))
 
 
 def csr_rows(edges: DataFrame) -> DataFrame:
     """idx, node_id, row_start, degree of every vertex in CSR order."""
-    by_vertex = running_sum(degrees(edges), "node_id", "degree", "row_start")
-    return dense_index(by_vertex, "node_id").select("idx", "node_id", "row_start", "degree")
+    by_vertex = materialise(degrees(edges).withColumn("_one", F.lit(1).cast("long")), "degrees")
+    return running_sums(by_vertex, "node_id", {"row_start": "degree", "idx": "_one"}).select("idx", "node_id", "row_start", "degree")
 
 
 def csr_columns(edges: DataFrame, index: DataFrame) -> DataFrame:
     """pos and col_idx (and w): neighbours row by row, ascending within a row."""
-    from pyspark.sql import Window
-
-    coded = encoded(edges, index)
-    per_row = coded.groupBy("src_idx").agg(F.count(F.lit(1)).alias("degree"))
+    coded = materialise(encoded(edges, index), "coded-edges")
+    per_row = materialise(coded.groupBy("src_idx").agg(F.count(F.lit(1)).alias("degree")), "row-degrees")
     starts = running_sum(per_row, "src_idx", "degree", "row_start").select("src_idx", "row_start")
     within = F.row_number().over(Window.partitionBy("src_idx").orderBy("dst_idx")) - 1
     return coded.withColumn("i", within).join(starts, "src_idx").select((F.col("row_start") + F.col("i")).cast("long").alias("pos"), F.col("src_idx").alias("row_idx"), F.col("dst_idx").alias("col_idx"), "w")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import degrees
@@ -16,13 +16,21 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     """n, nnz, num_edges (of an undirected graph), density (0 of an empty graph) and the CSR arrays' size in MB."""
     by_vertex = degrees(edges).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("degree"), F.lit(0)).cast("long").alias("nnz"))
     n, nnz = F.col("n"), F.col("nnz")
-    return by_vertex.select(
-        "n",
-        "nnz",
-        F.floor(nnz / 2).cast("long").alias("num_edges"),
-        F.when(n > 0, nnz / (n.cast("double") * n)).otherwise(0.0).alias("density"),
-        (F.lit(4.0) * (n + 1 + 2 * nnz) / F.lit(1e6)).alias("csr_mb"),
-    )
+    return by_vertex.select("n", "nnz", F.floor(nnz / 2).cast("long").alias("num_edges"), *_sizes(n, nnz))
+
+
+def _sizes(n: Column, nnz: Column) -> tuple[Column, Column]:
+    density = F.when(n > 0, nnz / (n.cast("double") * n)).otherwise(0.0)
+    return density.alias("density"), (F.lit(4.0) * (n + 1 + 2 * nnz) / F.lit(1e6)).alias("csr_mb")
+
+
+def graph_summary(edges: DataFrame) -> DataFrame:
+    """One row: graph_stats() and degree_stats() from one pass over the edges."""
+    d = degrees(edges).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("degree"), F.lit(0)).cast("long").alias("nnz"),
+        F.avg("degree").alias("avg_degree"), F.max("degree").alias("max_degree"), F.min("degree").alias("min_degree"),
+    )
+    return d.select("*", *_sizes(F.col("n"), F.col("nnz")))
 
 
 def score_summary(scores: DataFrame) -> DataFrame:

@@ -16,7 +16,14 @@ def uniform(vertices: DataFrame, n: int) -> DataFrame:
 def random_unit(vertices: DataFrame, seed: int) -> DataFrame:
     """Numbers in [0, 1) from a seeded hash of the id, scaled to norm 1."""
     raw = vertices.select(F.col("node_id").alias("id"), unit_hash(seed, F.col("node_id")).alias("x"))
-    return scaled(raw, 1.0 / norm(raw))
+    return scaled(raw, 1.0 / (norm(raw) or 1.0))
+
+
+def spmv_parts(edges: DataFrame, x: DataFrame, direction: str = "out", weighted: bool = True) -> DataFrame:
+    """(id, y, x): one product for each edge, with 0 as the old value."""
+    row, col = ("src", "dst") if direction == "out" else ("dst", "src")
+    product = F.col("w") * F.col("x") if weighted else F.col("x")
+    return edges.join(x.select(F.col("id").alias(col), "x"), col).select(F.col(row).alias("id"), product.alias("y"), F.lit(0.0).alias("x"))
 
 
 def spmv(edges: DataFrame, x: DataFrame, direction: str = "out", weighted: bool = True, shift: bool = False) -> DataFrame:
@@ -26,9 +33,7 @@ def spmv(edges: DataFrame, x: DataFrame, direction: str = "out", weighted: bool
     column's. One join brings values to edges; one aggregation, partial before
     its shuffle, sums products and keeps every vertex.
     """
-    row, col = ("src", "dst") if direction == "out" else ("dst", "src")
-    product = F.col("w") * F.col("x") if weighted else F.col("x")
-    parts = edges.join(x.select(F.col("id").alias(col), "x"), col).select(F.col(row).alias("id"), product.alias("y"), F.lit(0.0).alias("x"))
+    parts = spmv_parts(edges, x, direction, weighted)
     own = x.select("id", (F.col("x") if shift else F.lit(0.0)).alias("y"), "x")
     return parts.unionByName(own).groupBy("id").agg(F.sum("y").alias("y"), F.sum("x").alias("x"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp_noise
-from ..functions.scratch import scratch_path
+from ..functions.scratch import materialise, scratch_path
 from ..operators import centrality, graph, ranking, stats, vectors
 from ..operators.graph import Graph
 from ..sources import artifacts, csr_binary, edge_text
@@ -279,12 +279,8 @@ def csr_binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csr_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.copurchase(spark, sf_dir)
     folder = scratch_path(spark, "arrays")
-    rows, columns = graph.csr_rows(e), graph.csr_columns(e, graph.vertex_index(e))
-    end = rows.agg(F.count(F.lit(1)).alias("pos"), F.sum("degree").alias("value"))
-    artifacts.write_array(rows.select(F.col("idx").alias("pos"), F.col("row_start").alias("value")).unionByName(end), f"{folder}/indptr")
-    artifacts.write_array(columns.select("pos", F.col("col_idx").alias("value")), f"{folder}/indices")
+    _write_arrays(fx.copurchase(spark, sf_dir), folder)
     back = artifacts.csr_from_arrays(artifacts.read_array(spark, f"{folder}/indptr"), artifacts.read_array(spark, f"{folder}/indices"))
     return graph.csr_to_edges(*back)
 
@@ -296,7 +292,7 @@ def csv_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = artifacts.OutputPaths.of(scratch_path(spark, "run"), "copurchase")
     artifacts.write_scores(result.scores, out.scores)
     artifacts.write_top(result.scores, out.top)
-    artifacts.write_metrics(artifacts.metrics_row(spark, result, "copurchase", e.count(), "power", 1000, 1e-6), out.metrics)
+    artifacts.write_metrics(artifacts.metrics_row(spark, result, "copurchase", e, "power", 1000, 1e-6), out.metrics)
     top = artifacts.read_csv(spark, out.top, artifacts.TOP)
     scores = artifacts.read_csv(spark, out.scores, artifacts.SCORES)
     metrics = artifacts.read_json(spark, out.metrics, artifacts.METRICS).select("num_nodes", "nnz", "iterations", "converged", "top_node")
@@ -305,6 +301,87 @@ def csv_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _folder(spark: SparkSession, tag: str) -> str:
+    folder = scratch_path(spark, tag)
+    store, name = csr_binary.open_store(folder)
+    store.create_dir(name)
+    return folder
+
+
+def csr_binary_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binary file without weights, by the vertices' indices."""
+    e = fx.copurchase(spark, sf_dir)
+    path = f"{_folder(spark, 'csr')}/graph.csr"
+    csr_binary.write_csr(graph.csr_rows(e), graph.csr_columns(e, graph.vertex_index(e)), path, weighted=False)
+    return csr_binary.read_csr(spark, path, weighted=False).select(F.col("src").alias("src_idx"), F.col("dst").alias("dst_idx"), "w")
+
+
+def _write_arrays(e: DataFrame, folder: str) -> None:
+    rows, columns = graph.csr_rows(e), materialise(graph.csr_columns(e, graph.vertex_index(e)), "columns")
+    end = rows.agg(F.count(F.lit(1)).alias("pos"), F.sum("degree").alias("value"))
+    artifacts.write_array(rows.select(F.col("idx").alias("pos"), F.col("row_start").alias("value")).unionByName(end), f"{folder}/indptr")
+    artifacts.write_array(columns.select("pos", F.col("col_idx").alias("value")), f"{folder}/indices")
+    artifacts.write_array(columns.select("pos", F.col("w").alias("value")), f"{folder}/data")
+
+
+def csr_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSR arrays as text, checked, packed into a binary file and read."""
+    folder = _folder(spark, "pack")
+    _write_arrays(graph.directed(fx.trade(spark, sf_dir), "w").edges, folder)
+    artifacts.pack(spark, f"{folder}/indptr", f"{folder}/indices", f"{folder}/graph.csr", f"{folder}/data")
+    return csr_binary.read_csr(spark, f"{folder}/graph.csr").select(F.col("src").alias("src_idx"), F.col("dst").alias("dst_idx"), "w")
+
+
+def convert_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weighted, directed edge list as text, converted to a binary file and read."""
+    from .. import cli
+
+    folder = _folder(spark, "convert")
+    lines = fx.trade(spark, sf_dir).select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("w").cast("string")).alias("value"))
+    lines.unionByName(lines).write.text(f"{folder}/edges")
+    cli.convert(spark, f"{folder}/edges", f"{folder}/graph.csr.bin", directed=True, weighted=True)
+    return csr_binary.read_csr(spark, f"{folder}/graph.csr").select(F.col("src").alias("src_idx"), F.col("dst").alias("dst_idx"), "w")
+
+
+def metadata_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = graph.graph_type(fx.copurchase(spark, sf_dir)).collect()[0]
+    path = scratch_path(spark, "metadata")
+    artifacts.write_metadata(spark, path, shape["n_vertices"], shape["nnz"], "copurchase.txt")
+    return artifacts.read_json(spark, path, artifacts.METADATA)
+
+
+def metrics_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.copurchase(spark, sf_dir)
+    path = scratch_path(spark, "metrics")
+    made = artifacts.metrics_row(spark, centrality.power_iteration(_plain(e)), artifacts.dataset_name("a/web.csr.bin"), e, "power", 1000, 1e-6, k=10, input_file="web.txt", csr_file="web.csr")
+    artifacts.write_metrics(made, path)
+    read = artifacts.read_json(spark, path, artifacts.METRICS)
+    return read.select(
+        "dataset", "num_nodes", "num_edges", "nnz", "method", "graph_type", "iterations", "top_k", "input_file", "csr_file", "max_degree", "min_degree",
+        F.round("density", 9).alias("density"), F.round("avg_degree", 6).alias("avg_degree"), F.round("csr_mb", 6).alias("csr_mb"),
+        (F.abs(F.col("gflops") - 2e-9 * F.col("edges_per_second")) < 1e-9).alias("rates_agree"),
+    )
+
+
+def scores_by_node_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "by-node")
+    artifacts.write_scores(_final(spark, sf_dir), path, ("node_id", "centrality_score"), by_score=False, digits=10)
+    return artifacts.read_csv(spark, path, "node_id long, centrality_score double").select("node_id", F.round("centrality_score", 5).alias("centrality_score"))
+
+
+def scores_ranked_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ranked")
+    artifacts.write_scores(_final(spark, sf_dir), path, ("NodeID", "Score"))
+    return artifacts.read_csv(spark, path, "NodeID long, Score double").select(F.col("NodeID").alias("node_id"), F.round("Score", 6).alias("score"))
+
+
+def lanczos_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A basis of 50 vectors from the seeded random start against power iteration: vertices, and do they rate them alike?"""
+    g = _plain(fx.copurchase(spark, sf_dir))
+    out = ranking.compare_scores(centrality.power_iteration(g, tol=1e-10).scores, centrality.lanczos(g, m=50, seed=42).scores)
+    return out.select("n_both", "n_one", (F.col("max_difference") < 1e-5).alias("alike"))
+
+
 def _with_edges(edges: str, body: str) -> str:
     return f"WITH e AS ({edges}) {body}"
 
@@ -316,6 +393,11 @@ _DEGREES = "SELECT src AS id, count(*)::BIGINT AS d FROM e GROUP BY 1"
 _ROWS = f"r AS (SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS idx, id AS node_id, (sum(d) OVER (ORDER BY id) - d)::BIGINT AS row_start, d AS degree FROM ({_DEGREES}))"
 _CODED = f"i AS ({INDEX}), c AS (SELECT a.idx AS src_idx, b.idx AS dst_idx FROM e JOIN i a ON e.src = a.node_id JOIN i b ON e.dst = b.node_id)"
 
+_WEIGHTED = (
+    f"WITH e AS ({fx.TRADE_NO_LOOPS}), i AS (SELECT id AS node_id, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS idx FROM ({_UNION})) "
+    "SELECT a.idx AS src_idx, b.idx AS dst_idx, e.w * {times} AS w FROM e JOIN i a ON e.src = a.node_id JOIN i b ON e.dst = b.node_id"
+)
+
 CASES: dict[str, tuple[Query, str]] = {
     "edge_list_parse": (edge_list_parse, f"SELECT src, dst FROM ({fx.HANDOFF})"),
     "self_loop_filter": (self_loop_filter, fx.TRADE_NO_LOOPS),
@@ -365,6 +447,14 @@ CASES: dict[str, tuple[Query, str]] = {
     "compare_methods": (compare_methods, f"SELECT count(DISTINCT src)::BIGINT AS n_both, 0::BIGINT AS n_one, true AS alike FROM ({fx.COPURCHASE})"),
     "sign_clamp": (sign_clamp, SIGN_CLAMP),
     "csr_binary_roundtrip": (csr_binary_roundtrip, fx.COPURCHASE),
+    "csr_binary_unweighted": (csr_binary_unweighted, f"WITH e AS ({fx.COPURCHASE}), {_CODED} SELECT *, 1.0::DOUBLE AS w FROM c"),
+    "csr_pack": (csr_pack, _WEIGHTED.format(times=1)),
+    "convert_weighted": (convert_weighted, _WEIGHTED.format(times=2)),
+    "metadata_roundtrip": (metadata_roundtrip, _with_edges(fx.COPURCHASE, f"SELECT (SELECT count(*) FROM ({_UNION}))::BIGINT AS num_nodes, count(*)::BIGINT AS num_edges, ((SELECT count(*) FROM ({_UNION})) + 1)::BIGINT AS indptr_length, count(*)::BIGINT AS indices_length, count(*)::BIGINT AS data_length, 'copurchase.txt' AS input_file FROM e")),
+    "metrics_fields": (metrics_fields, sql.power(fx.COPURCHASE, f"SELECT 'web' AS dataset, count(*)::BIGINT AS num_nodes, (sum(d) // 2)::BIGINT AS num_edges, sum(d)::BIGINT AS nnz, 'power' AS method, 'undirected' AS graph_type, (SELECT max(k) FROM last)::BIGINT AS iterations, 10::BIGINT AS top_k, 'web.txt' AS input_file, 'web.csr' AS csr_file, max(d) AS max_degree, min(d) AS min_degree, round(sum(d)::DOUBLE / (count(*)::DOUBLE * count(*)), 9) AS density, round(avg(d), 6) AS avg_degree, round(4.0::DOUBLE * (count(*) + 1 + 2 * sum(d)) / 1e6, 6) AS csr_mb, true AS rates_agree FROM ({_DEGREES})")),
+    "scores_by_node_csv": (scores_by_node_csv, sql.power(fx.COPURCHASE, "SELECT id AS node_id, round(x, 5) AS centrality_score FROM last")),
+    "scores_ranked_csv": (scores_ranked_csv, sql.power(fx.COPURCHASE, "SELECT id AS node_id, round(x, 6) AS score FROM last")),
+    "lanczos_default": (lanczos_default, f"SELECT count(DISTINCT src)::BIGINT AS n_both, 0::BIGINT AS n_one, true AS alike FROM ({fx.COPURCHASE})"),
     "csr_text_roundtrip": (csr_text_roundtrip, f"WITH e AS ({fx.COPURCHASE}), {_CODED} SELECT * FROM c"),
     "csv_json_roundtrip": (csv_json_roundtrip, sql.power(fx.COPURCHASE, f"SELECT rank, node_id, score, true AS same, (SELECT n FROM n)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS nnz, (SELECT max(k) FROM last)::BIGINT AS iterations, true AS converged, first_value(node_id) OVER (ORDER BY rank) AS top_node FROM ({RANKED}) WHERE rank <= 20")),
 }

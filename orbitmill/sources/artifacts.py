@@ -8,14 +8,20 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import fixed_decimals
+from ..functions.scratch import materialise
 from ..operators.centrality import Result
+from ..operators.graph import csr_checks
 from ..operators.ranking import ranked, top_k
+from ..operators.stats import graph_summary
+from .csr_binary import write_csr
 
 METADATA = "num_nodes long, num_edges long, indptr_length long, indices_length long, data_length long, input_file string"
 METRICS = (
     "dataset string, num_nodes long, num_edges long, nnz long, method string, max_iter long, tol double, iterations long, "
     "runtime_seconds double, avg_iteration_ms double, edges_per_second double, residual double, converged boolean, "
-    "top_node long, top_score double, score_sum double"
+    "top_node long, top_score double, score_sum double, top_k long, graph_type string, density double, avg_degree double, "
+    "max_degree long, min_degree long, csr_mb double, gflops double, gigabytes_per_second double, input_file string, csr_file string"
 )
 SCORES = "node_id long, score double"
 TOP = "rank long, node_id long, score double"
@@ -43,6 +49,20 @@ def csr_from_arrays(indptr: DataFrame, indices: DataFrame, data: DataFrame | Non
     return rows, columns.join(data.select("pos", F.col("value").cast("double").alias("w")), "pos")
 
 
+def pack(spark: SparkSession, indptr: str, indices: str, target: str, data: str | None = None) -> tuple[int, int]:
+    """Packs CSR arrays in text files into a binary CSR file, if they fit together; returns n and nnz."""
+    read = lambda path, kind="long": materialise(read_array(spark, path, kind), "array")
+    starts, ends, weights = read(indptr), read(indices), None if data is None else read(data, "double")
+    if weights is not None and weights.count() != ends.count():
+        raise ValueError(f"{data}: not one number for each of {indices}")
+    rows, columns = csr_from_arrays(starts, ends, weights)
+    broken = rows.where("degree < 0 or (idx = 0 and row_start <> 0)").limit(1).count() + ends.where("value < 0").limit(1).count()
+    checks = csr_checks(rows, columns).collect()[0]
+    if broken or not checks["valid"]:
+        raise ValueError(f"{indptr}, {indices}: {checks['n']} rows end at {checks['end']} of {checks['nnz']} columns, or a number is out of range")
+    return write_csr(rows, columns, target)
+
+
 def write_metadata(spark: SparkSession, path: str, n: int, nnz: int, input_file: str) -> None:
     spark.createDataFrame([(n, nnz, n + 1, nnz, nnz, input_file)], METADATA).coalesce(1).write.mode("overwrite").json(path)
 
@@ -58,7 +78,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_scores(scores: DataFrame, path: str, header: tuple[str, str] = ("node_id", "score"), by_score: bool = True, digits: int | None = None) -> None:
     """Scores as one CSV file, by score or by node, with the header and decimals asked for."""
     ordered = ranked(scores) if by_score else scores.orderBy("node_id")
-    value = F.col("score") if digits is None else F.format_string(f"%.{digits}f", F.col("score"))
+    value = F.col("score") if digits is None else fixed_decimals(F.col("score"), digits)
     write_csv(ordered.coalesce(1).select(F.col("node_id").alias(header[0]), value.alias(header[1])), path)
 
 
@@ -70,14 +90,21 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def metrics_row(spark: SparkSession, result: Result, dataset: str, nnz: int, method: str, max_iter: int, tol: float, directed: bool = False) -> DataFrame:
+def metrics_row(
+    spark: SparkSession, result: Result, dataset: str, edges: DataFrame, method: str, max_iter: int, tol: float,
+    directed: bool = False, k: int = 20, input_file: str | None = None, csr_file: str | None = None,
+) -> DataFrame:
     """One row of METRICS; an empty graph has no top node."""
     top = top_k(result.scores, 1).collect()
     total = result.scores.agg(F.sum("score")).collect()[0][0]
+    graph = graph_summary(edges).collect()[0]
+    nnz = graph["nnz"]
     row = (
         dataset, result.n, nnz if directed else nnz // 2, nnz, method, max_iter, tol, result.iterations, result.runtime_seconds,
         1e3 * result.seconds_per_iteration, result.edges_per_second(nnz), result.residual, result.converged,
-        top[0]["node_id"] if top else None, top[0]["score"] if top else None, total,
+        top[0]["node_id"] if top else None, top[0]["score"] if top else None, total, k, "directed" if directed else "undirected",
+        graph["density"], graph["avg_degree"], graph["max_degree"], graph["min_degree"], graph["csr_mb"],
+        result.gflops(nnz), result.gigabytes_per_second(nnz), input_file, csr_file,
     )
     return spark.createDataFrame([row], METRICS)
 

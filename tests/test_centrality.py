@@ -1,10 +1,12 @@
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from orbitmill.functions import scratch
 from orbitmill.operators import centrality, graph, ranking, spaces, stats
 from orbitmill.operators.graph import Graph
 
@@ -156,3 +158,34 @@ def test_ranking_ties_and_clamp(spark):
     assert [r["node_id"] for r in ranking.top_k(df, 10).orderBy("rank").collect()] == [9, 3, 5]
     assert [(r["rank"], r["node_id"]) for r in ranking.full_ranking(df).orderBy("rank").collect()] == [(1, 9), (2, 3), (3, 5)]
     assert stats.score_summary(df).collect()[0]["top_node"] == 9
+
+
+def _star(spark, n=60):
+    pairs = [(0, i) for i in range(1, n)] + [(i, i + 1) for i in range(1, n - 1)]
+    return graph.undirected(spark.createDataFrame(pairs, "src long, dst long"))
+
+
+def test_both_spaces_start_alike(spark):
+    g = _star(spark)
+    one, other = (centrality.lanczos(g, m=12, seed=42, reorthogonalize=True, strategy=s) for s in ("blocks", "tables"))
+    assert one.alpha == pytest.approx(other.alpha) and one.beta[:-1] == pytest.approx(other.beta[:-1])
+    assert ranking.compare_scores(one.scores, other.scores).collect()[0]["max_difference"] < 1e-9
+
+
+def test_hot_ends_and_what_is_left_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(spaces, "BUCKET_EDGES", 16)
+    g = _star(spark)
+    folder = Path(scratch.scratch_path(spark, "x")).parent
+    names = lambda: sorted(p.name for p in Path(str(folder).removeprefix("file:")).glob("*"))
+    before = names()
+    space = spaces.space_of(g, strategy="tables")
+    assert space.hot.count() >= 59 and space.edges.count() + space.hot.count() == g.edges.count()
+    x = space.uniform()
+    for _ in range(4):
+        x = space.step(x)[0]
+    assert sum(n.startswith("iterate-") for n in names()) == 1
+    space.close()
+    assert names() == before
+    tables, blocks = (centrality.power_iteration(g, shift=True, strategy=s) for s in ("tables", "blocks"))
+    assert ranking.compare_scores(tables.scores, blocks.scores).collect()[0]["max_difference"] < 1e-9
+    assert [n.split("-")[0] for n in names() if n not in before] == ["scores"]

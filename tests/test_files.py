@@ -103,3 +103,30 @@ def test_command_line(spark, text_file, tmp_path, capsys):
     metrics = json.loads(next((tmp_path / "out" / "g_metrics.json").glob("part-*.json")).read_text())
     assert metrics["num_nodes"] == 3 and metrics["nnz"] == 4
     assert len(next((tmp_path / "out" / "g_top2.csv").glob("part-*.csv")).read_text().splitlines()) == 3
+
+
+def test_pack_checks_its_arrays(spark, tmp_path):
+    def write(name, numbers):
+        (tmp_path / name).write_text("\n".join(map(str, numbers)) + "\n")
+        return str(tmp_path / name)
+
+    indptr, indices, data = write("indptr", [0, 1, 3]), write("indices", [1, 0, 1]), write("data", [0.5, 2, 4])
+    cli.main(["pack", indptr, indices, str(tmp_path / "p.csr.bin"), "--data", data], spark)
+    read = csr_binary.read_csr(spark, str(tmp_path / "p.csr"))
+    assert sorted(map(tuple, read.collect())) == [(0, 1, 0.5), (1, 0, 2.0), (1, 1, 4.0)]
+    for bad in ((write("a", [0, 1, 4]), indices, None), (indptr, write("b", [1, 0, 2]), None), (write("c", [0, 3, 2, 3]), indices, None), (indptr, write("d", [1, -1, 0]), None), (indptr, indices, write("e", [1.0]))):
+        with pytest.raises(ValueError):
+            artifacts.pack(spark, bad[0], bad[1], str(tmp_path / "q.csr"), bad[2])
+
+
+def test_weights_of_text(spark, tmp_path, text_file):
+    path = tmp_path / "w.txt"
+    path.write_text("1 2 0.5\n1 2 2\n2 1\n3 3 9\n")
+    cli.main(["convert", str(path), str(tmp_path / "w.csr"), "--directed", "--weighted"], spark)
+    assert sorted(map(tuple, csr_binary.read_csr(spark, str(tmp_path / "w.csr")).collect())) == [(0, 1, 2.5), (1, 0, 1.0)]
+    cli.main(["solve", str(path), "20", "1e-6", "2", "--out", str(tmp_path / "out"), "--directed", "--weighted"], spark)
+    metrics = json.loads(next((tmp_path / "out" / "w_metrics.json").glob("part-*.json")).read_text())
+    assert (metrics["graph_type"], metrics["num_edges"], metrics["max_degree"], metrics["top_k"], metrics["input_file"]) == ("directed", 2, 1, 2, str(path))
+    assert metrics["gflops"] > 0 and metrics["gigabytes_per_second"] > 0
+    with pytest.raises(ValueError):
+        cli.read_text(spark, str(path), False, True)
