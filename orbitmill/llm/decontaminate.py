@@ -35,7 +35,7 @@ WIDTH = 13
 #: Windows of one broadcast slice (about 200 bytes each with their words) and bytes of their words and items' ids, on average.
 MOST_WINDOWS, MOST_BYTES = 200_000, 48 << 20
 #: Bytes of text handled at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 HITS = "doc_id long, text_key long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 

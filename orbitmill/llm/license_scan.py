@@ -40,7 +40,7 @@ PHRASE_K, TEXT_K = 2, 4
 NEAR = 3
 #: Least share of a template's grams, and of its words, that a span must have, and most room it may take.
 COVER, ROOM = 0.6, 1.5
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Grams in one row on their way to the join.
 RUN = 1 << 15
 MOST_POSITIONS = 1 << 18
