@@ -2,6 +2,14 @@
 
 Each stage works on all that its predecessor kept and its decisions take
 effect. All stages but the last return the columns of ``documents``.
+
+Defined results, in every stage: null texts count as empty ones and stay null;
+null doc_ids, sources and other columns are kept, and a null doc_id counts as
+larger than all others; of documents equal in all that a stage compares one
+stays, the same in every run; extra columns pass unchanged whatever their names
+(but n_chars, which follows the text); an empty table stays empty, and empty
+``labels`` or ``benchmark`` tables reject nothing. Texts are read whole, however
+long they are.
 """
 
 from __future__ import annotations
