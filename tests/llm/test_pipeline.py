@@ -1,5 +1,10 @@
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 import __spark_entry__
+from orbitmill.functions.scratch import scratch_path
 
 from .conftest import TEXTS
 
@@ -35,3 +40,23 @@ def test_odd_documents_pass(spark, documents):
         assert narrow.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert 0 < narrow.count() < len(TEXTS)
     assert p.STAGES[-1][1](spark, narrow, SF).count() == narrow.count()
+
+
+def test_empty_tables_and_extra_columns(spark, no_documents, make_documents):
+    few = make_documents([(1, "one two three four"), (2, "one two three four"), (None, None), (3, "x" * 120)]).withColumn("__key", F.lit("mine"))
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, no_documents, SF).columns == no_documents.columns
+        few = stage(spark, few, SF).cache()
+    assert sorted((r["doc_id"], r["__key"], r["hash"]) for r in few.where("doc_id is not null").collect()) == [(1, "mine", "x"), (3, "mine", "x")]
+    assert p.STAGES[-1][1](spark, no_documents, SF).count() == 0
+
+
+def test_what_is_left_in_the_scratch_folder(spark):
+    folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = set(folder.glob("*"))
+    for _, stage in p.STAGES:
+        stage(spark, docs, SF).count()
+    kinds = sorted(x.name.rpartition("-")[0] for x in set(folder.glob("*")) - before)
+    # what the results still read; everything else has gone
+    assert kinds == sorted(["simhash-asked", "removals", "mix-targets", *[k for k in kinds if k.startswith("mix-flight-")]])
