@@ -22,8 +22,8 @@ settling copies early never hides a match.
 3. Segments whose hash may repeat are told apart by their digests, as narrow
    rows with partial aggregation, and noted with their least document as in 1:
    again, what isn't noted is removed where the text lies.
-4. What is left of a hash with several distinct segments goes, with its bytes
-   and its place, to parts by hash; each part is suffix-sorted in two stages,
+4. What is left of a hash that several documents have goes, with its bytes and
+   its place, to parts by hash, if it isn't alone there; each part is suffix-sorted in two stages,
    and windows with an adjacent common prefix of ``LENGTH`` bytes share their
    least document. A hash with more than ``MOST_SEGMENTS`` segments would
    overfill a part; its windows are sorted by Spark, by their own bytes.
@@ -364,6 +364,16 @@ def _settled(length: int, gram: int, firsts, repeated, own, several):
     return run
 
 
+def _having(hashes: Bitmap):
+    """Keeps the rows whose ``hash`` is among these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hashes.has(batch.column("hash").to_numpy().view(U64))))
+
+    return run
+
+
 RANGES = "doc long, text_key long, a long, b long"
 
 
@@ -436,9 +446,10 @@ def _removals(docs: DataFrame, length: int, gram: int, most_segments: int, scrat
     repeated = bitmap(docs, _hashes(length, gram, part_bits, firsts), 2)
 
     segments = docs.mapInArrow(_segment_keys(length, gram, firsts, repeated), "hash long, k1 long, k2 long, doc long")
-    distinct = scratch.table(segments.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc")), "distinct-segments")
+    distinct = scratch.table(segments.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc"), F.max("doc").alias("most")), "distinct-segments")
     own = bitmap(distinct.select("k1", "k2", "doc"), _noted(part_bits))
-    several = distinct.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    # also where there is one segment with copies: a copy that hits ``own`` by chance is sorted beside its first
+    several = distinct.groupBy("hash").agg(F.min("doc").alias("least"), F.max("most").alias("most")).where("least < most")
     several = bitmap(several.select("hash"), _plain(part_bits))
 
     settled = scratch.table(docs.mapInArrow(_settled(length, gram, firsts, repeated, own, several), SETTLED), "settled")
@@ -446,12 +457,15 @@ def _removals(docs: DataFrame, length: int, gram: int, most_segments: int, scrat
         used.destroy()
     ranges = settled.where("segment is null").select("doc", "text_key", "a", "b")
     asked = settled.where("segment is not null").select("doc", "text_key", "a", "hash", "segment")
-    total = asked.agg(F.sum(F.octet_length("segment"))).collect()[0][0] or 0
-    crowds = scratch.table(asked.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_segments).select("hash"), "crowded-hashes")
+    # most firsts are alone now, as their copies are settled: their bytes stay where they are
+    counts = scratch.table(asked.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("segment")).alias("size")).where("n > 1"), "hashes-to-sort")
+    crowds = counts.where(F.col("n") > most_segments).select("hash")
     if not crowds.isEmpty():
         ranges = ranges.unionByName(_crowded(asked.join(crowds, "hash"), length, scratch))
         asked = asked.join(crowds, "hash", "left_anti")
-    parts = asked.repartition(max(1, -(-total // PART_BYTES)), "hash")
+    total = counts.agg(F.sum("size")).collect()[0][0] or 0
+    met = bitmap(counts.select("hash"), _plain(part_bits))
+    parts = asked.mapInArrow(_having(met), asked.schema).repartition(max(1, -(-total // PART_BYTES)), "hash")
     ranges = ranges.unionByName(parts.mapInArrow(_sorted_parts(length), RANGES))
     return ranges.groupBy("doc", "text_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 

@@ -87,7 +87,9 @@ def test_long_runs_make_bounded_segments(make_documents):
     assert s.size.max() == d.WINDOWS + 49 and (s.size - 49).sum() == 9000 - 49
 
 
-def test_copies_of_copies(make_documents):
+@pytest.mark.parametrize("bits", [12, 20])  # a bitmap that is all but full, and a roomy one
+def test_copies_of_copies(make_documents, monkeypatch, bits):
+    monkeypatch.setattr(d, "bits_for", lambda total: bits)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
     page = [" ".join(word() for _ in range(120)) for _ in range(6)]
