@@ -23,9 +23,10 @@ settling copies early never hides a match.
    rows with partial aggregation, and noted with their least document as in 1:
    again, what isn't noted is removed where the text lies.
 4. What is left of a hash that several documents have goes, with its bytes and
-   its place, to parts by hash, if it isn't alone there; each part is suffix-sorted in two stages,
-   and windows with an adjacent common prefix of ``LENGTH`` bytes share their
-   least document. A hash with more than ``MOST_SEGMENTS`` segments would
+   its place, to parts by hash, if it isn't alone there; each part's hashes are
+   suffix-sorted in two stages, ``SORT_BYTES`` of whole hashes at a time, and
+   windows with an adjacent common prefix of ``LENGTH`` bytes share their least
+   document. A hash with more than ``MOST_SEGMENTS`` segments would
    overfill a part; its windows are sorted by Spark, by their own bytes.
 5. Ranges to remove go back to their documents; only the texts of documents
    that may have some are shuffled.
@@ -56,7 +57,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, Scratch, arrow_rows, free_name, materialise, mixed, packed, powers, split_rows, utf8
+from .shared import U64, Scratch, arrow_rows, free_name, materialise, mixed, packed, powers, slices, split_rows, utf8
 from .suffix_sort import least_by_window
 
 LENGTH, GRAM = 50, 28
@@ -70,8 +71,10 @@ CUT_BITS = 3
 BITS = 28
 #: Rows handed to Python at a time.
 ROWS = 1000
-#: Bytes of segments sorted in one part.
+#: Bytes of segments in one part.
 PART_BYTES = 4 << 20
+#: Of these, so many are sorted at a time.
+SORT_BYTES = 1 << 20
 MOST_SEGMENTS = 20_000
 LAST = (1 << 63) - 1
 _BASE = 0x5851F42D4C957F2D
@@ -377,10 +380,11 @@ def _having(hashes: Bitmap):
 RANGES = "doc long, text_key long, a long, b long"
 
 
-def _sorted_parts(length: int):
+def _sorted_parts(length: int, most: int = SORT_BYTES):
     """Ranges of segments (doc, text_key, a, hash, segment) that hold windows which an earlier document has.
 
-    A task has all segments of its hashes, about PART_BYTES of them.
+    A task has all segments of its hashes, about PART_BYTES of them. Windows
+    meet within their hash only, so whole hashes are sorted, ``most`` bytes at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,28 +392,41 @@ def _sorted_parts(length: int):
         if not held:
             return
         rows = pa.Table.from_batches(held)
+        del held
         _, of, count = np.unique(rows.column("hash").to_numpy(), return_inverse=True, return_counts=True)
-        rows = rows.filter(pa.array(count[of] > 1)).combine_chunks()  # a hash with one segment has no other to share windows with
+        rows = rows.filter(pa.array(count[of] > 1))  # a hash with one segment has no other to share windows with
         if not rows.num_rows:
             return
-        buf, off = packed(rows.column("segment"))
-        doc = rows.column("doc").to_numpy()
-        least, edge = least_by_window(buf, off, doc, length)
-        hit = np.flatnonzero(least < np.repeat(doc, np.diff(edge)))
-        of = np.searchsorted(edge, hit, "right") - 1
-        new = np.ones(len(hit), bool)
-        new[1:] = (np.diff(hit) > 1) | (np.diff(of) > 0)
-        first = np.flatnonzero(new)
-        if not len(first):
-            return
-        of, last = of[first], np.append(first[1:], len(hit)) - 1
-        start = rows.column("a").to_numpy()[of] - edge[of]
-        columns = [doc[of], rows.column("text_key").to_numpy()[of], start + hit[first], start + hit[last] + length]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc", "text_key", "a", "b"])
+        rows = rows.sort_by("hash").combine_chunks()
+        hashes = rows.column("hash").to_numpy()
+        group = np.concatenate([[0], np.flatnonzero(np.diff(hashes)) + 1, [len(hashes)]])
+        off = packed(rows.column("segment"))[1]
+        for i, j in slices(off[group], most):
+            found = _shared_windows(rows.slice(group[i], group[j] - group[i]), length)
+            if found is not None:
+                yield found
 
     return run
 
 
+def _shared_windows(rows: pa.Table, length: int) -> pa.RecordBatch | None:
+    """The ranges (doc, text_key, a, b) among these segments, if there are some."""
+    buf, off = packed(rows.column("segment"))
+    doc = rows.column("doc").to_numpy()
+    least, edge = least_by_window(buf, off, doc, length)
+    hit = np.flatnonzero(least < np.repeat(doc, np.diff(edge)))
+    if not len(hit):
+        return None
+    of = np.searchsorted(edge, hit, "right") - 1
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) > 1) | (np.diff(of) > 0)
+    first = np.flatnonzero(new)
+    of, last = of[first], np.append(first[1:], len(hit)) - 1
+    start = rows.column("a").to_numpy()[of] - edge[of]
+    columns = [doc[of], rows.column("text_key").to_numpy()[of], start + hit[first], start + hit[last] + length]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc", "text_key", "a", "b"])
+
+
 def _crowded(crowd: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """What _sorted_parts finds, for segments of hashes with too many: windows meet by their bytes."""
     each = crowd.withColumn("i", F.explode(F.expr(f"sequence(0, octet_length(segment) - {length})"))).withColumn("window", F.expr(f"substring(segment, i + 1, {length})"))

@@ -174,3 +174,29 @@ def test_order_is_that_of_suffixes():
     words = suffix_sort.eight_bytes(text, 50)
     order = suffix_sort.suffix_order(text, np.ones(len(text), bool), words, 50)
     assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tobytes())
+
+
+def test_parts_are_sorted_by_whole_hashes():
+    rng = random.Random(8)
+    rows = []
+    for h in range(12):  # equal windows have equal hashes: an alphabet for each
+        parts = ["".join(rng.choice("abc") for _ in range(30)) + chr(100 + h) for _ in range(3)]
+        for n in range(rng.randint(1, 9)):
+            text = "".join(rng.choice(parts) for _ in range(rng.randint(2, 5))).encode()
+            rows.append((rng.randint(0, 6), n, 100 * h, (1 << 63) - 1 - h if h % 2 else h - (1 << 63), text))
+    rng.shuffle(rows)
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc", "text_key", "a", "hash", "segment"])
+
+    def ranges(most):
+        found = d._sorted_parts(50, most)(iter([batch.slice(0, 20), batch.slice(20)]))
+        return sorted(tuple(r.values()) for b in found for r in b.to_pylist())
+
+    least = {}
+    for doc, _, _, _, text in rows:
+        for k in range(len(text) - 49):
+            least[text[k : k + 50]] = min(least.get(text[k : k + 50], doc), doc)
+    covered = {(doc, key, a, k) for doc, key, a, _, text in rows for k in range(len(text) - 49) if least[text[k : k + 50]] < doc}
+    told = {(doc, key, a // 100 * 100, k - a // 100 * 100) for doc, key, a, b in ranges(1) for k in range(a, b - 49)}
+    assert covered and {(doc, key, k + a) for doc, key, a, k in covered} == {(doc, key, k + a) for doc, key, a, k in told}
+    assert ranges(1) == ranges(500) == ranges(1 << 20)
