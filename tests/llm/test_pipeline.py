@@ -60,3 +60,19 @@ def test_what_is_left_in_the_scratch_folder(spark):
     kinds = sorted(x.name.rpartition("-")[0] for x in set(folder.glob("*")) - before)
     # what the results still read; everything else has gone
     assert kinds == sorted(["simhash-asked", "removals", "mix-targets", *[k for k in kinds if k.startswith("mix-flight-")]])
+
+
+def test_stages_bound_what_python_gets(spark):
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        spark.conf.set(keys[0], "7")
+        spark.conf.set(keys[1], "64MB")
+        p._small_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == ["7", str(p.BATCH_BYTES)]
+        spark.conf.set(keys[0], "10000")
+        p._small_batches(spark)
+        assert spark.conf.get(keys[0]) == str(p.BATCH_ROWS)
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
