@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import materialise
 from .prefix import dense_index, running_sum, running_sums
 
+#: Positions of a CSR array that a task holds at a time.
+BLOCK_POSITIONS = 1 << 16
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -112,13 +117,28 @@ def csr_columns(edges: DataFrame, index: DataFrame) -> DataFrame:
     return coded.withColumn("i", within).join(starts, "src_idx").select((F.col("row_start") + F.col("i")).cast("long").alias("pos"), F.col("src_idx").alias("row_idx"), F.col("dst_idx").alias("col_idx"), "w")
 
 
+def _owned(rows: pa.Table, columns: pa.Table) -> pa.Table:
+    """(src_idx, dst_idx) of one block of positions; a row ends where the next that has columns begins or by its degree."""
+    start, idx = rows.column("row_start").to_numpy(), rows.column("idx").to_numpy()
+    order = np.argsort(start, kind="stable")
+    start, idx, end = start[order], idx[order], (start + rows.column("degree").to_numpy())[order]
+    pos, col = columns.column("pos").to_numpy(), columns.column("col_idx").to_numpy()
+    of = np.searchsorted(start, pos, "right") - 1
+    have = (of >= 0) & (pos < end[of]) if len(start) else np.zeros(len(pos), bool)
+    return pa.table({"src_idx": pa.array(idx[of[have]], pa.int64()), "dst_idx": pa.array(col[have], pa.int64())})
+
+
 def csr_to_edges(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """(src_idx, dst_idx) from row starts (idx, row_start, degree) and columns (pos, col_idx).
 
-    Each row names the positions it owns, so an equi-join finds them.
+    Positions meet their rows in blocks of ``BLOCK_POSITIONS``: a row goes to each
+    block it has positions in, so nothing is as long as a row or sent to all tasks.
     """
-    owned = rows.where("degree > 0").select(F.col("idx").alias("src_idx"), F.explode(F.sequence("row_start", F.col("row_start") + F.col("degree") - 1)).alias("pos"))
-    return owned.join(columns.select("pos", "col_idx"), "pos").select("src_idx", F.col("col_idx").alias("dst_idx"))
+    block = lambda c: F.floor(c / F.lit(BLOCK_POSITIONS)).cast("long")
+    last = F.col("row_start") + F.col("degree") - 1
+    owners = rows.where("degree > 0").select("idx", "row_start", "degree", F.explode(F.sequence(block(F.col("row_start")), block(last))).alias("block"))
+    placed = columns.select("pos", F.col("col_idx").cast("long").alias("col_idx"), block(F.col("pos")).alias("block"))
+    return owners.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_owned, "src_idx long, dst_idx long")
 
 
 def csr_checks(rows: DataFrame, columns: DataFrame) -> DataFrame:

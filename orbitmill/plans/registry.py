@@ -28,6 +28,11 @@ def _edges(e: DataFrame) -> DataFrame:
     return e.select("src", "dst")
 
 
+def _copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph as a table, for queries that read it several times."""
+    return materialise(fx.copurchase(spark, sf_dir), "copurchase")
+
+
 def _degree_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(fx.copurchase(spark, sf_dir)).select(F.col("node_id").alias("id"), F.col("degree").cast("double").alias("x"))
 
@@ -71,12 +76,12 @@ INDEX = "SELECT id AS node_id, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS
 
 
 def encode_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.copurchase(spark, sf_dir)
+    e = _copurchase(spark, sf_dir)
     return graph.encoded(_edges(e), graph.vertex_index(e))
 
 
 def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.copurchase(spark, sf_dir)
+    e = _copurchase(spark, sf_dir)
     index = graph.vertex_index(e)
     coded = graph.encoded(_edges(e), index).groupBy(F.col("src_idx").alias("idx")).agg(F.sum("dst_idx").alias("total"))
     return graph.decoded(coded, index).select("node_id", "total")
@@ -92,17 +97,17 @@ def csr_row_ptr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csr_col_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.copurchase(spark, sf_dir)
+    e = _copurchase(spark, sf_dir)
     return graph.csr_columns(e, graph.vertex_index(e)).select("pos", "col_idx")
 
 
 def csr_to_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.copurchase(spark, sf_dir)
+    e = _copurchase(spark, sf_dir)
     return graph.csr_to_edges(graph.csr_rows(e), graph.csr_columns(e, graph.vertex_index(e)))
 
 
 def csr_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.copurchase(spark, sf_dir)
+    e = _copurchase(spark, sf_dir)
     return graph.csr_checks(graph.csr_rows(e), graph.csr_columns(e, graph.vertex_index(e)))
 
 
@@ -266,7 +271,7 @@ SELECT id, round(CASE WHEN x < 0 AND x > -1e-6 THEN 0.0 ELSE x END, 8) AS x FROM
 
 
 def csr_binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.copurchase(spark, sf_dir)
+    e = _copurchase(spark, sf_dir)
     index = graph.vertex_index(e)
     folder = scratch_path(spark, "csr")
     store, name = csr_binary.open_store(folder)
@@ -280,7 +285,7 @@ def csr_binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csr_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "arrays")
-    _write_arrays(fx.copurchase(spark, sf_dir), folder)
+    _write_arrays(_copurchase(spark, sf_dir), folder)
     back = artifacts.csr_from_arrays(artifacts.read_array(spark, f"{folder}/indptr"), artifacts.read_array(spark, f"{folder}/indices"))
     return graph.csr_to_edges(*back)
 
@@ -310,7 +315,7 @@ def _folder(spark: SparkSession, tag: str) -> str:
 
 def csr_binary_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A binary file without weights, by the vertices' indices."""
-    e = fx.copurchase(spark, sf_dir)
+    e = _copurchase(spark, sf_dir)
     path = f"{_folder(spark, 'csr')}/graph.csr"
     csr_binary.write_csr(graph.csr_rows(e), graph.csr_columns(e, graph.vertex_index(e)), path, weighted=False)
     return csr_binary.read_csr(spark, path, weighted=False).select(F.col("src").alias("src_idx"), F.col("dst").alias("dst_idx"), "w")

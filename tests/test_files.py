@@ -130,3 +130,18 @@ def test_weights_of_text(spark, tmp_path, text_file):
     assert metrics["gflops"] > 0 and metrics["gigabytes_per_second"] > 0
     with pytest.raises(ValueError):
         cli.read_text(spark, str(path), False, True)
+
+
+def test_positions_meet_their_rows_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_POSITIONS", 4)
+    degree = [0, 1, 11, 0, 3, 4, 0]  # a row over several blocks, rows that end with one, empty ones
+    rows, columns, expected, at = [], [], [], 0
+    for i, d in enumerate(degree):
+        rows.append((i, 10 * i, at, d))
+        expected += [(i, 100 * i + k) for k in range(d)]
+        columns += [(at + k, 100 * i + k) for k in range(d)]
+        at += d
+    made = graph.csr_to_edges(spark.createDataFrame(rows, "idx long, node_id long, row_start long, degree long").repartition(3), spark.createDataFrame([*columns, (at, 5)], "pos long, col_idx long").repartition(4))
+    assert sorted(map(tuple, made.collect())) == expected
+    assert "Broadcast" not in made._jdf.queryExecution().toString()
+    assert graph.csr_to_edges(spark.createDataFrame([], "idx long, row_start long, degree long"), spark.createDataFrame([], "pos long, col_idx long")).count() == 0
