@@ -31,9 +31,11 @@ def spmv(edges: DataFrame, x: DataFrame, direction: str = "out", weighted: bool
 
     ``out`` gathers over a row's edges (y[src] from x[dst]), ``in`` over a
     column's. One join brings values to edges; one aggregation, partial before
-    its shuffle, sums products and keeps every vertex.
+    its shuffle, sums products and keeps every vertex. The join sorts both
+    sides: Spark's estimates of edges that are still to be made, or that lie
+    compressed, are far too low, and it would broadcast them.
     """
-    parts = spmv_parts(edges, x, direction, weighted)
+    parts = spmv_parts(edges.hint("merge"), x, direction, weighted)
     own = x.select("id", (F.col("x") if shift else F.lit(0.0)).alias("y"), "x")
     return parts.unionByName(own).groupBy("id").agg(F.sum("y").alias("y"), F.sum("x").alias("x"))
 

@@ -166,7 +166,7 @@ RESIDUAL = {
 
 def _product(edges: Callable, direction: str, weighted: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = edges(spark, sf_dir)
+        e = materialise(edges(spark, sf_dir), "edges")
         x = graph.vertices(e).select(F.col("node_id").alias("id"), (F.lit(1.0) / (F.col("node_id") + 1)).alias("x"))
         return vectors.spmv(e, x, direction, weighted).select("id", F.round("y", 6).alias("y"))
 

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from orbitmill.functions import scratch
-from orbitmill.operators import centrality, graph, ranking, spaces, stats
+from orbitmill.operators import centrality, graph, ranking, spaces, stats, vectors
 from orbitmill.operators.graph import Graph
 
 
@@ -189,3 +189,10 @@ def test_hot_ends_and_what_is_left_on_disk(spark, monkeypatch):
     tables, blocks = (centrality.power_iteration(g, shift=True, strategy=s) for s in ("tables", "blocks"))
     assert ranking.compare_scores(tables.scores, blocks.scores).collect()[0]["max_difference"] < 1e-9
     assert [n.split("-")[0] for n in names() if n not in before] == ["scores"]
+
+
+def test_a_product_broadcasts_no_edges(spark):
+    e = edges(spark, both_ways([(0, 1), (1, 2), (2, 3)]))
+    y = vectors.spmv(e.distinct(), graph.vertices(e).selectExpr("node_id as id", "1.0d as x"), "out", False)
+    assert "Broadcast" not in y._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, y.select("id", "y").collect())) == [(0, 1.0), (1, 2.0), (2, 2.0), (3, 1.0)]
