@@ -27,17 +27,25 @@ def free_name(names: list[str], like: str) -> str:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Hands so many rows at a time to Python, for jobs that run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _set(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int):
+    """Hands so many rows at a time to Python, for jobs that run inside."""
+    return _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def brief_shuffles(spark: SparkSession):
+    """Deletes the shuffle files of each query made inside when it has run, not when the driver happens to collect its garbage."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 #: Bits of the bitmap of keys by which rows are split: 2 MB.
 KEY_BITS = 24
 

@@ -57,7 +57,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, Scratch, arrow_rows, free_name, materialise, mixed, packed, powers, slices, split_rows, utf8
+from .shared import U64, Scratch, arrow_rows, brief_shuffles, free_name, materialise, mixed, packed, powers, slices, split_rows, utf8
 from .suffix_sort import least_by_window
 
 LENGTH, GRAM = 50, 28
@@ -447,7 +447,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
 def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """doc, text_key, spans: byte spans (a, b) to remove, of the documents that have some; spans may overlap."""
     spark = documents.sparkSession
-    with arrow_rows(spark, ROWS), Scratch(spark) as scratch:
+    with arrow_rows(spark, ROWS), brief_shuffles(spark), Scratch(spark) as scratch:
         return materialise(_removals(_keyed(documents), length, gram, most_segments, scratch), "removals")
 
 

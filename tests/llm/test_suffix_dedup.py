@@ -1,5 +1,7 @@
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -200,3 +202,15 @@ def test_parts_are_sorted_by_whole_hashes():
     told = {(doc, key, a // 100 * 100, k - a // 100 * 100) for doc, key, a, b in ranges(1) for k in range(a, b - 49)}
     assert covered and {(doc, key, k + a) for doc, key, a, k in covered} == {(doc, key, k + a) for doc, key, a, k in told}
     assert ranges(1) == ranges(500) == ranges(1 << 20)
+
+
+def test_shuffle_files_go_with_their_query(spark, make_documents):
+    folders = [str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {str(p) for f in folders for p in Path(f).rglob("shuffle_*.data")}
+    before = files()
+    d.removals(make_documents([(i, f"{i} " + "word passage text " * 20) for i in range(30)]))
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
