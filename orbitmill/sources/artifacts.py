@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fixed_decimals
@@ -27,26 +30,51 @@ SCORES = "node_id long, score double"
 TOP = "rank long, node_id long, score double"
 
 
+def _split_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (value, file, block) as (file, block, first, numbers): the numbers of some lines of one split, and how many it has before them."""
+    seen: dict[tuple[str, int], int] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name, block = batch.column("file").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
+        cut = np.flatnonzero((np.diff(name) != 0) | (np.diff(block) != 0)) + 1
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+            key = batch.column("file")[i].as_py(), int(block[i])
+            found = "\n".join(batch.column("value").slice(i, j - i).to_pylist()).encode().split()
+            first = seen.get(key, 0)
+            seen[key] = first + len(found)
+            numbers = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([first], pa.int64()), numbers], ["file", "block", "first", "numbers"])
+
+
 def read_array(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
-    """(pos, value) of a text file with one number a line, in the file's order."""
-    text = spark.read.text(path, wholetext=True)
-    each = text.select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("pos", "v")).where("v <> ''")
-    return each.select(F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").cast(kind).alias("value"))
+    """(pos, value) of a text file of numbers, in the file's order, or of a folder's files one after another by name.
+
+    Splits are read side by side and moved by the numbers in the splits before them.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = materialise(lines.mapInArrow(_split_numbers, "file string, block long, first long, numbers array<string>"), "numbers")
+    totals = pieces.groupBy("file", "block").agg(F.sum(F.size("numbers")).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    moved = totals.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("moved"))
+    each = pieces.join(F.broadcast(moved), ["file", "block"]).select((F.col("moved") + F.col("first")).alias("at"), F.posexplode("numbers").alias("i", "v"))
+    return each.select((F.col("at") + F.col("i")).cast("long").alias("pos"), F.col("v").cast("double").cast(kind).alias("value"))
 
 
 def write_array(values: DataFrame, path: str) -> None:
-    """Writes (pos, value) as one file, a number a line, by pos."""
-    values.orderBy("pos").coalesce(1).select(F.col("value").cast("string")).write.mode("overwrite").text(path)
+    """Writes (pos, value) by pos, a number a line, to a folder's files one after another by name."""
+    values.orderBy("pos").select(F.col("value").cast("string")).write.mode("overwrite").text(path)
 
 
 def csr_from_arrays(indptr: DataFrame, indices: DataFrame, data: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (idx, row_start, degree) and columns (pos, col_idx, w) from three arrays (pos, value)."""
     following = indptr.select((F.col("pos") - 1).alias("pos"), F.col("value").alias("end"))
-    rows = indptr.join(following, "pos").select(F.col("pos").alias("idx"), F.col("value").alias("row_start"), (F.col("end") - F.col("value")).alias("degree"))
+    # sizes of compressed numbers are estimated too low to broadcast by
+    rows = indptr.hint("merge").join(following, "pos").select(F.col("pos").alias("idx"), F.col("value").alias("row_start"), (F.col("end") - F.col("value")).alias("degree"))
     columns = indices.select("pos", F.col("value").alias("col_idx"))
     if data is None:
         return rows, columns.withColumn("w", F.lit(1.0))
-    return rows, columns.join(data.select("pos", F.col("value").cast("double").alias("w")), "pos")
+    return rows, columns.hint("merge").join(data.select("pos", F.col("value").cast("double").alias("w")), "pos")
 
 
 def pack(spark: SparkSession, indptr: str, indices: str, target: str, data: str | None = None) -> tuple[int, int]:
