@@ -16,13 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.scratch import Scratch
+
 HEADER = 8
 MOST = (1 << 31) - 1
-#: Edges handed on at once.
+#: Edges handed on at once, and numbers of one piece of a file.
 BATCH = 1 << 18
 
 
@@ -96,31 +98,45 @@ def read_csr(spark: SparkSession, path: str, weighted: bool = True, partitions:
 def write_csr(rows: DataFrame, columns: DataFrame, path: str, weighted: bool = True) -> tuple[int, int]:
     """Writes one file from rows (idx, row_start, degree) and columns (pos, col_idx, w); returns n and nnz.
 
-    One file has one writer: the arrays pass through it in order, a partition at a time.
+    Tasks make the arrays' bytes in pieces; the file's one writer only puts these
+    in order, a few MB at a time.
     """
-    n, nnz = rows.count(), columns.count()
-    if max(n, nnz) > MOST:
-        raise ValueError("the format's numbers have 32 bits")
-    store, name = open_store(path)
-    with store.open_output_stream(name) as out:
-        out.write(struct.pack("<ii", n, nnz))
-        for part in _in_order(rows, "idx", F.col("row_start").cast("int")):
-            out.write(part.astype("<i4").tobytes())
-        out.write(struct.pack("<i", nnz))
-        for part in _in_order(columns, "pos", F.col("col_idx").cast("int")):
-            out.write(part.astype("<i4").tobytes())
-        if weighted:
-            for part in _in_order(columns, "pos", F.col("w").cast("float")):
-                out.write(part.astype("<f4").tobytes())
+    with Scratch(rows.sparkSession) as scratch:
+        starts, n = _pieces(rows, "idx", {"a": F.col("row_start").cast("long")}, scratch)
+        numbers = {"a": F.col("col_idx").cast("int"), **({"w": F.col("w").cast("float")} if weighted else {})}
+        edges, nnz = _pieces(columns, "pos", numbers, scratch)
+        if max(n, nnz) > MOST:
+            raise ValueError("the format's numbers have 32 bits")
+        store, name = open_store(path)
+        with store.open_output_stream(name) as out:
+            out.write(struct.pack("<ii", n, nnz))
+            for part in _in_order(starts, "a", n):
+                out.write(part)
+            out.write(struct.pack("<i", nnz))
+            for part in _in_order(edges, "a", nnz):
+                out.write(part)
+            if weighted:
+                for part in _in_order(edges, "w", nnz):
+                    out.write(part)
     return n, nnz
 
 
-def _in_order(df: DataFrame, order: str, value) -> Iterator[np.ndarray]:
-    """The values in order, in pieces."""
-    held = []
-    for row in df.select(order, value.alias("v")).orderBy(order).toLocalIterator(prefetchPartitions=False):
-        held.append(row["v"])
-        if len(held) == BATCH:
-            yield np.array(held)
-            held = []
-    yield np.array(held, dtype=float if not held else None)
+def _piece(rows: pa.Table) -> pa.Table:
+    order = np.argsort(rows.column("at").to_numpy(), kind="stable")
+    data = lambda c, kind: [rows.column(c).to_numpy()[order].astype(kind).tobytes()] if c in rows.column_names else [None]
+    return pa.table({"piece": rows.column("piece").slice(0, 1), "n": pa.array([len(order)], pa.int64()), "a": pa.array(data("a", "<i4"), pa.binary()), "w": pa.array(data("w", "<f4"), pa.binary())})
+
+
+def _pieces(df: DataFrame, order: str, values: dict[str, Column], scratch: Scratch) -> tuple[DataFrame, int]:
+    """A table of pieces of BATCH values as bytes, in order within a piece, and the number of values."""
+    at = F.col(order).cast("long")
+    each = df.select(F.floor(at / F.lit(BATCH)).cast("long").alias("piece"), at.alias("at"), *[v.alias(k) for k, v in values.items()])
+    made = scratch.table(each.groupBy("piece").applyInArrow(_piece, "piece long, n long, a binary, w binary"), "csr-pieces")
+    return made, made.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+
+
+def _in_order(pieces: DataFrame, column: str, total: int) -> Iterator[bytes]:
+    """The pieces' bytes in order, eight pieces of them at a time."""
+    parts = max(1, -(-total // (8 * BATCH)))
+    for row in pieces.select("piece", column).repartitionByRange(parts, "piece").sortWithinPartitions("piece").toLocalIterator():
+        yield bytes(row[column])

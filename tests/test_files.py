@@ -145,3 +145,40 @@ def test_positions_meet_their_rows_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, made.collect())) == expected
     assert "Broadcast" not in made._jdf.queryExecution().toString()
     assert graph.csr_to_edges(spark.createDataFrame([], "idx long, row_start long, degree long"), spark.createDataFrame([], "pos long, col_idx long")).count() == 0
+
+
+def test_arrays_in_several_files_and_splits(spark, tmp_path):
+    values = spark.range(500).selectExpr("id as pos", "id * 3 as value")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        artifacts.write_array(values.repartition(7), str(tmp_path / "a"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "a").glob("part-*"))
+    assert len(parts) > 1  # no task wrote them all
+    (tmp_path / "one.txt").write_text("  " + " ".join(map(str, range(0, 300, 3))) + "\n\n" + "\n".join(map(str, range(300, 1500, 3))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        for path in ("a", "one.txt"):
+            read = artifacts.read_array(spark, str(tmp_path / path))
+            assert sorted(map(tuple, read.collect())) == [(i, 3 * i) for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csr_is_written_in_pieces_from_one_pass(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csr_binary, "BATCH", 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(11).selectExpr("id as idx", "id * 3 as row_start", "3L as degree")
+    columns = spark.range(33).selectExpr("id as pos", "(id * 7) % 11 as col_idx", "id / 2.0d as w").repartition(5)
+    path = str(tmp_path / "g.csr")
+    assert csr_binary.write_csr(rows, columns.mapInArrow(counted, columns.schema), path) == (11, 33)
+    expected = struct.pack("<ii12i33i33f", 11, 33, *range(0, 36, 3), *((i * 7) % 11 for i in range(33)), *(i / 2 for i in range(33)))
+    assert open(path, "rb").read() == expected
+    assert seen.value == 33
