@@ -1,7 +1,7 @@
 """Where a solver's vectors live.
 
 ``BlockSpace`` keeps vectors of at most ``MOST_VERTICES`` entries on the driver
-and the matrix as blocks of compact rows, spread over the executors and read
+(a basis of long ones in files) and the matrix as blocks of compact rows, spread over the executors and read
 again each iteration; a product is one job that sends the vector out and gets
 partial sums back. ``TableSpace`` keeps vectors as tables and a product is a
 join and an aggregation; it has no limit of size. Its edges lie in buckets by
@@ -13,6 +13,7 @@ sums. The graph is computed once, into a table that both are made from.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -27,8 +28,10 @@ from ..functions.scratch import Scratch, materialise
 from . import vectors
 from .graph import Graph, counted_ends, vertices
 
-#: A vector of so many doubles is 8 MB; it and the ids are what a task is sent.
-MOST_VERTICES = 1 << 20
+#: A vector of so many doubles is 16 MB; it and the ids are what a task is sent.
+MOST_VERTICES = 1 << 21
+#: Vectors that are kept lie in files of the driver's if they have so many entries.
+FILE_ENTRIES = 1 << 17
 #: Edges of one block.
 BLOCK_EDGES = 1 << 19
 #: Edges of one bucket of a table.
@@ -168,6 +171,7 @@ class BlockSpace:
     def __init__(self, edges: DataFrame, weighted: bool, direction: str, shift: bool, scratch: Scratch, ids: np.ndarray, degree: np.ndarray):
         self.spark, self.scratch = edges.sparkSession, scratch
         self.ids, self.n, self.shift = ids, len(ids), shift
+        self.files: tempfile.TemporaryDirectory | None = None
         row, col = _ends(direction)
         total = np.cumsum(degree)
         # a cut after every BLOCK_EDGES edges: the row in which it falls ends its block
@@ -211,7 +215,18 @@ class BlockSpace:
         return y, size, float(np.abs(y - x).sum()), float(np.linalg.norm(y - x))
 
     def combined(self, parts: list[tuple[float, np.ndarray]], keep: bool = False) -> np.ndarray:
-        return sum(f * v for f, v in parts)
+        out = np.zeros(self.n)
+        for f, v in parts:
+            out += f * v
+        return self._filed(out) if keep and self.n >= FILE_ENTRIES else out
+
+    def _filed(self, v: np.ndarray) -> np.ndarray:
+        """The vector, read from a file where it is used."""
+        if self.files is None:
+            self.files = tempfile.TemporaryDirectory(prefix="orbitmill-", ignore_cleanup_errors=True)
+        path = f"{self.files.name}/{uuid.uuid4().hex}"
+        v.tofile(path)
+        return np.memmap(path, v.dtype, "r")
 
     def signed(self, v: np.ndarray) -> np.ndarray:
         return -v if len(v) and v[int(np.argmax(np.abs(v)))] < 0 else v
@@ -221,6 +236,8 @@ class BlockSpace:
 
     def close(self) -> None:
         self.blocks.unpersist()
+        if self.files is not None:
+            self.files.cleanup()
         self.scratch.drop()
 
 

@@ -248,7 +248,7 @@ RANKED = "SELECT row_number() OVER (ORDER BY x DESC, id)::BIGINT AS rank, id AS
 
 def compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power iteration against Lanczos' method: do they rate the same vertices alike?"""
-    g = _plain(fx.copurchase(spark, sf_dir))
+    g = _plain(_copurchase(spark, sf_dir))
     out = ranking.compare_scores(centrality.power_iteration(g, tol=1e-10).scores, centrality.lanczos(g, m=10, seed=None).scores)
     return out.select("n_both", "n_one", (F.col("max_difference") < 1e-6).alias("alike"))
 
@@ -382,7 +382,7 @@ def scores_ranked_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lanczos_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A basis of 50 vectors from the seeded random start against power iteration: vertices, and do they rate them alike?"""
-    g = _plain(fx.copurchase(spark, sf_dir))
+    g = _plain(_copurchase(spark, sf_dir))
     out = ranking.compare_scores(centrality.power_iteration(g, tol=1e-10).scores, centrality.lanczos(g, m=50, seed=42).scores)
     return out.select("n_both", "n_one", (F.col("max_difference") < 1e-5).alias("alike"))
 

@@ -196,3 +196,19 @@ def test_a_product_broadcasts_no_edges(spark):
     y = vectors.spmv(e.distinct(), graph.vertices(e).selectExpr("node_id as id", "1.0d as x"), "out", False)
     assert "Broadcast" not in y._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, y.select("id", "y").collect())) == [(0, 1.0), (1, 2.0), (2, 2.0), (3, 1.0)]
+
+
+def test_a_basis_lies_in_files(spark, monkeypatch):
+    assert spaces.MOST_VERTICES >= 60 * 20_000  # the co-purchase graph of 1 GB needs no tables
+    g = _star(spark)
+    expected = centrality.lanczos(g, m=12, seed=42, reorthogonalize=True)
+    monkeypatch.setattr(spaces, "FILE_ENTRIES", 1)
+    space = spaces.space_of(g)
+    v = space.combined([(0.5, space.uniform()), (2.0, space.uniform())], keep=True)
+    folder = Path(space.files.name)
+    assert isinstance(v, np.memmap) and np.array_equal(v, 2.5 * space.uniform()) and len(list(folder.iterdir())) == 1
+    space.close()
+    assert not folder.exists()
+    made = centrality.lanczos(g, m=12, seed=42, reorthogonalize=True)
+    assert made.alpha == expected.alpha and made.beta == expected.beta
+    assert ranking.compare_scores(made.scores, expected.scores).collect()[0]["max_difference"] == 0.0
