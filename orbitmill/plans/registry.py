@@ -272,11 +272,12 @@ SELECT id, round(CASE WHEN x < 0 AND x > -1e-6 THEN 0.0 ELSE x END, 8) AS x FROM
 
 def csr_binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _copurchase(spark, sf_dir)
-    index = graph.vertex_index(e)
+    rows = materialise(graph.csr_rows(e), "csr-rows")
+    index = rows.select("node_id", "idx")
     folder = scratch_path(spark, "csr")
     store, name = csr_binary.open_store(folder)
     store.create_dir(name)
-    csr_binary.write_csr(graph.csr_rows(e), graph.csr_columns(e, index), f"{folder}/graph.csr")
+    csr_binary.write_csr(rows, graph.csr_columns(e, index), f"{folder}/graph.csr")
     read = csr_binary.read_csr(spark, f"{folder}/graph.csr")
     back = index.select(F.col("idx").alias("src"), F.col("node_id").alias("a"))
     to = index.select(F.col("idx").alias("dst"), F.col("node_id").alias("b"))
@@ -322,7 +323,8 @@ def csr_binary_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_arrays(e: DataFrame, folder: str) -> None:
-    rows, columns = graph.csr_rows(e), materialise(graph.csr_columns(e, graph.vertex_index(e)), "columns")
+    rows = materialise(graph.csr_rows(e), "csr-rows")
+    columns = materialise(graph.csr_columns(e, rows.select("node_id", "idx")), "columns")
     end = rows.agg(F.count(F.lit(1)).alias("pos"), F.sum("degree").alias("value"))
     artifacts.write_array(rows.select(F.col("idx").alias("pos"), F.col("row_start").alias("value")).unionByName(end), f"{folder}/indptr")
     artifacts.write_array(columns.select("pos", F.col("col_idx").alias("value")), f"{folder}/indices")
