@@ -12,18 +12,22 @@ next one whose hash ends in ``CUT_BITS`` zeros a stretch. A window that stands
 in several documents is always kept in the first of them by what follows, so
 settling copies early never hides a match.
 
-1. Every distinct stretch is noted with its least document in a bitmap of fixed
-   size. A stretch and document that aren't noted are a copy of an earlier
-   document's: it is removed where the text lies, which settles most of what
-   copies and near copies share. A chance hit only leaves it to later steps.
-2. A second bitmap holds the hashes that occur in two documents or more among
+1. A bitmap of fixed size holds the stretches that several documents have; every
+   distinct stretch that hits it is noted with its least document in another. A
+   stretch that hits the first and isn't noted with its document is a copy of an
+   earlier document's: it is removed where the text lies, which settles most of
+   what copies and near copies share. A chance hit only leaves it to later steps.
+2. A third bitmap holds the hashes that occur in two documents or more among
    the segments left, made from packed hashes, four bytes each. It only spares
    work: a wrong hit costs time, a hash that repeats is never missed.
 3. Segments whose hash may repeat are told apart by their digests, as narrow
-   rows with partial aggregation, and noted with their least document as in 1:
-   again, what isn't noted is removed where the text lies.
-4. What is left of a hash that several documents have goes, with its bytes and
-   its place, to parts by hash, if it isn't alone there; each part's hashes are
+   rows with partial aggregation; those of hashes that several documents have are
+   noted with their least document as in 1: again, what isn't noted is removed
+   where the text lies.
+4. What is left of a hash that several documents have is settled once more by
+   its digests, if it isn't alone there: copies that hit the bitmap by chance are
+   found among the few segments left. The others go, with their bytes and their
+   places, to parts by hash, if they aren't alone there; each part's hashes are
    suffix-sorted in two stages, ``SORT_BYTES`` of whole hashes at a time, and
    windows with an adjacent common prefix of ``LENGTH`` bytes share their least
    document. A hash with more than ``MOST_SEGMENTS`` segments would
@@ -53,6 +57,7 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,7 +121,8 @@ class Segments:
             step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             first = np.repeat(first, parts) + step * WINDOWS
             count = np.diff(np.append(first, len(place)))
-        self.hash, self.row, self.start = value[first], owner[first], place[first]
+        # least values crowd at the low end: mixed again, their leading bits fill a bitmap and deal parts evenly
+        self.hash, self.row, self.start = mixed(value[first]), owner[first], place[first]
         self.size = count + length - 1
 
     def stretches(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,18 +163,19 @@ def pieces(values: pa.Array, length: int, piece: int = PIECE) -> Iterator[tuple[
         yield np.concatenate([buf[a : a + k] for a, k in zip(at, m, strict=True)]), edge, r, base
 
 
-def noted(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The hash by which the document of a digest (two numbers) is noted."""
-    return mixed(keys[:, 0] ^ mixed(keys[:, 1] + mixed(doc.astype(np.int64).view(U64))))
+def noted(keys: np.ndarray, doc: np.ndarray, turn: int = 0) -> np.ndarray:
+    """The hash by which the document of a digest (two numbers) is noted; another one in each turn."""
+    return mixed(keys[:, 0] ^ mixed(keys[:, 1] + U64(turn) + mixed(doc.astype(np.int64).view(U64))))
 
 
-def _left(batch: pa.RecordBatch, length: int, gram: int, firsts: Bitmap) -> Iterator[tuple]:
+def _left(batch: pa.RecordBatch, length: int, gram: int, shared: Bitmap, firsts: Bitmap) -> Iterator[tuple]:
     """By piece of a batch (doc, text_key, text): its segments, which of them are in copied stretches, bytes, doc and text_key of its rows, shift."""
     doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     for buf, off, rows, base in pieces(batch.column(2), length):
         s, data = Segments(buf, off, length, gram), buf.tobytes()
         row, _, _, keys, of = s.stretches(data)
-        copied = ~firsts.has(noted(keys, doc[rows[row]]))
+        copied = shared.has(keys[:, 0])
+        copied[copied] = ~firsts.has(noted(keys[copied], doc[rows[row[copied]]]))
         yield s, copied[of], data, doc[rows], key[rows], base - off[:-1]
 
 
@@ -222,11 +229,16 @@ def _numbers(batch: pa.RecordBatch, *columns: int) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy().view(U64) for c in columns], axis=1)
 
 
-def _noted(part_bits: int):
-    """Packs what is noted of rows (k1, k2, doc)."""
+def _noted(part_bits: int, among: Bitmap, turn: int = 0):
+    """Packs what is noted of rows (hash, k1, k2, doc) whose hash is among these."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            b = batch.filter(pa.array(among.has(batch.column(0).to_numpy().view(U64))))
+            yield noted(_numbers(b, 1, 2), b.column(3).to_numpy(), turn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered((noted(_numbers(b, 0, 1), b.column(2).to_numpy()) for b in batches), part_bits)
+        yield from _gathered(found(batches), part_bits)
 
     return run
 
@@ -238,12 +250,12 @@ def _plain(part_bits: int):
     return run
 
 
-def _hashes(length: int, gram: int, part_bits: int, firsts):
+def _hashes(length: int, gram: int, part_bits: int, shared, firsts):
     """Hashes of segments: once for each piece they occur in, twice if in two rows of it."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            for s, copied, *_ in _left(batch, length, gram, firsts):
+            for s, copied, *_ in _left(batch, length, gram, shared, firsts):
                 s.take(~copied)
                 order = np.lexsort((s.row, s.hash))
                 h, row = s.hash[order], s.row[order]
@@ -312,12 +324,12 @@ def _stretch_keys(length: int, gram: int):
     return run
 
 
-def _segment_keys(length: int, gram: int, firsts, repeated):
+def _segment_keys(length: int, gram: int, shared, firsts, repeated):
     """Segments outside copied stretches whose hash may repeat: (hash, k1, k2, doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, copied, data, doc, _, _ in _left(batch, length, gram, firsts):
+            for s, copied, data, doc, _, _ in _left(batch, length, gram, shared, firsts):
                 s.take(~copied & repeated.has(s.hash))
                 keys = digests(data, s.start, s.start + s.size).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s.hash.view(np.int64)), *map(pa.array, keys.T.astype(np.int64)), pa.array(doc[s.row])], ["hash", "k1", "k2", "doc"])
@@ -329,18 +341,17 @@ SETTLED = "doc long, text_key long, a long, b long, hash long, segment binary"
 _SETTLED = ["doc", "text_key", "a", "b", "hash", "segment"]
 
 
-def _settled(length: int, gram: int, firsts, repeated, own, several):
+def _settled(length: int, gram: int, shared, firsts, several, own):
     """Ranges that copied stretches and segments cover (without a segment), and segments to sort with their place and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, copied, data, doc, key, shift in _left(batch, length, gram, firsts):
+            for s, copied, data, doc, key, shift in _left(batch, length, gram, shared, firsts):
                 end = s.start + s.size
-                asked = np.flatnonzero(~copied & repeated.has(s.hash))
+                asked = np.flatnonzero(~copied & several.has(s.hash))
                 known = own.has(noted(digests(data, s.start[asked], end[asked]), doc[s.row[asked]]))
                 copied[asked[~known]] = True
                 asked = asked[known]
-                asked = asked[several.has(s.hash[asked])]
                 # copied segments of a row that touch make one range
                 at = np.flatnonzero(copied)
                 new = np.ones(len(at), bool)
@@ -367,6 +378,36 @@ def _settled(length: int, gram: int, firsts, repeated, own, several):
     return run
 
 
+def _asked(batches: Iterator[pa.RecordBatch], among: Bitmap) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of SETTLED with a segment whose hash is among these, and the segments' digests."""
+    for batch in batches:
+        batch = batch.filter(pa.array(among.has(batch.column("hash").to_numpy().view(U64))))
+        buf, off = packed(batch.column("segment"))
+        yield batch, digests(buf.tobytes(), off[:-1], off[1:])
+
+
+def _asked_keys(among: Bitmap):
+    """Of segments to sort: (hash, k1, k2, doc)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, keys in _asked(batches, among):
+            yield pa.RecordBatch.from_arrays([rows.column("hash"), *map(pa.array, keys.T.astype(np.int64)), rows.column("doc")], ["hash", "k1", "k2", "doc"])
+
+    return run
+
+
+def _settled_again(among: Bitmap, own: Bitmap, turn: int):
+    """Segments to sort that aren't noted become ranges, as in _settled; those that are alone go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, keys in _asked(batches, among):
+            copied = pa.array(~own.has(noted(keys, rows.column("doc").to_numpy(), turn)))
+            bare = [pc.if_else(copied, pa.scalar(None, c.type), c) for c in (rows.column("hash"), rows.column("segment"))]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], *bare], _SETTLED)
+
+    return run
+
+
 def _having(hashes: Bitmap):
     """Keeps the rows whose ``hash`` is among these."""
 
@@ -458,28 +499,44 @@ def _removals(docs: DataFrame, length: int, gram: int, most_segments: int, scrat
     bitmap = lambda rows, pack, least=1: bitmap_of(rows.mapInArrow(pack, PACKED), part_bits, bits, least)
 
     stretches = docs.select("doc", "t").mapInArrow(_stretch_keys(length, gram), "k1 long, k2 long, doc long")
-    firsts = bitmap(stretches.groupBy("k1", "k2").agg(F.min("doc").alias("doc")), _noted(part_bits))
+    stretches = scratch.table(stretches.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.max("doc").alias("most")), "distinct-stretches", "keys")
+    shared = bitmap(stretches.where("doc < most").select("k1"), _plain(part_bits))
+    firsts = bitmap(stretches.select(F.col("k1").alias("hash"), "k1", "k2", "doc"), _noted(part_bits, shared))
+    scratch.drop("keys")
 
-    repeated = bitmap(docs, _hashes(length, gram, part_bits, firsts), 2)
+    repeated = bitmap(docs, _hashes(length, gram, part_bits, shared, firsts), 2)
 
-    segments = docs.mapInArrow(_segment_keys(length, gram, firsts, repeated), "hash long, k1 long, k2 long, doc long")
-    distinct = scratch.table(segments.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc"), F.max("doc").alias("most")), "distinct-segments")
-    own = bitmap(distinct.select("k1", "k2", "doc"), _noted(part_bits))
+    segments = docs.mapInArrow(_segment_keys(length, gram, shared, firsts, repeated), "hash long, k1 long, k2 long, doc long")
+    distinct = scratch.table(segments.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc"), F.max("doc").alias("most")), "distinct-segments", "keys")
+    repeated.destroy()
     # also where there is one segment with copies: a copy that hits ``own`` by chance is sorted beside its first
     several = distinct.groupBy("hash").agg(F.min("doc").alias("least"), F.max("most").alias("most")).where("least < most")
+    # it has bits that ``repeated`` has, so all segments that hit it are among the distinct ones
     several = bitmap(several.select("hash"), _plain(part_bits))
+    own = bitmap(distinct.select("hash", "k1", "k2", "doc"), _noted(part_bits, several))
+    scratch.drop("keys")
 
-    settled = scratch.table(docs.mapInArrow(_settled(length, gram, firsts, repeated, own, several), SETTLED), "settled")
-    for used in (firsts, repeated, own, several):
+    settled = scratch.table(docs.mapInArrow(_settled(length, gram, shared, firsts, several, own), SETTLED), "settled")
+    for used in (shared, firsts, several, own):
         used.destroy()
     ranges = settled.where("segment is null").select("doc", "text_key", "a", "b")
-    asked = settled.where("segment is not null").select("doc", "text_key", "a", "hash", "segment")
+    asked = settled.where("segment is not null")
     # most firsts are alone now, as their copies are settled: their bytes stay where they are
+    met = bitmap(asked.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), _plain(part_bits))
+    # copies that hit ``own`` by chance are left: far fewer firsts are noted now, so nearly all of them are settled
+    left = asked.mapInArrow(_asked_keys(met), "hash long, k1 long, k2 long, doc long").groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc"))
+    own = bitmap(left.select("hash", "k1", "k2", "doc"), _noted(part_bits, met, 1))
+    again = scratch.table(asked.mapInArrow(_settled_again(met, own, 1), SETTLED), "settled-again")
+    for used in (met, own):
+        used.destroy()
+    ranges = ranges.unionByName(again.where("segment is null").select("doc", "text_key", "a", "b"))
+    asked = again.where("segment is not null").select("doc", "text_key", "a", "hash", "segment")
     counts = scratch.table(asked.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("segment")).alias("size")).where("n > 1"), "hashes-to-sort")
     crowds = counts.where(F.col("n") > most_segments).select("hash")
     if not crowds.isEmpty():
-        ranges = ranges.unionByName(_crowded(asked.join(crowds, "hash"), length, scratch))
-        asked = asked.join(crowds, "hash", "left_anti")
+        few = F.broadcast(crowds)  # each has many segments; without the hint every segment's bytes would be shuffled
+        ranges = ranges.unionByName(_crowded(asked.join(few, "hash"), length, scratch))
+        asked = asked.join(few, "hash", "left_anti")
     total = counts.agg(F.sum("size")).collect()[0][0] or 0
     met = bitmap(counts.select("hash"), _plain(part_bits))
     parts = asked.mapInArrow(_having(met), asked.schema).repartition(max(1, -(-total // PART_BYTES)), "hash")

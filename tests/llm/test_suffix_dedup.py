@@ -214,3 +214,35 @@ def test_shuffle_files_go_with_their_query(spark, make_documents):
         time.sleep(0.2)
     assert not left
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_hashes_fill_bitmaps_evenly():
+    rng = np.random.default_rng(3)
+    s = d.Segments(rng.integers(97, 123, 200_000).astype(np.uint8), np.array([0, 200_000]), d.LENGTH, d.GRAM)
+    share = np.bincount((s.hash >> np.uint64(60)).astype(np.int64), minlength=16) / len(s.hash)
+    assert share.max() < 0.08  # of the sixteenths of their range; least hashes as they are had over half in the first
+
+
+def test_what_hits_full_bitmaps_is_not_shuffled(make_documents, monkeypatch):
+    monkeypatch.setattr(d, "bits_for", lambda total: 12)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    pages = [" ".join(word() for _ in range(100)) for _ in range(2)]
+    texts = []
+    for i in range(300):
+        words = [word() for _ in range(100)] if i % 2 else rng.choice(pages).split()
+        words[rng.randrange(100)] = word()
+        texts.append((i, " ".join(words)))
+    sizes = []
+    table = d.Scratch.table
+
+    def seen(self, df, tag, *names):
+        out = table(self, df, tag, *names)
+        if tag == "hashes-to-sort":
+            sizes.append(out.agg(F.sum("size")).collect()[0][0])
+        return out
+
+    monkeypatch.setattr(d.Scratch, "table", seen)
+    assert as_set(d.dedup_report(make_documents(texts).repartition(5)), *COLUMNS) == brute(texts)
+    whole = sum(len(t) for _, t in texts)
+    assert len(sizes) == 1 and sizes[0] < whole / 4
