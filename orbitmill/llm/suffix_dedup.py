@@ -191,21 +191,27 @@ def packed_parts(hashes: np.ndarray, part_bits: int) -> pa.RecordBatch:
 
 
 class Bitmap:
-    """A broadcast set of leading bits of hashes; sent compressed, unpacked once in a worker."""
+    """A broadcast set of leading bits of hashes; its parts (number and bytes) are compressed where they are made and unpacked once in a worker."""
 
     _held: ClassVar[dict[str, np.ndarray]] = {}
 
-    def __init__(self, spark: SparkSession, bitmap: np.ndarray):
-        self.bits = int(np.log2(len(bitmap))) + 3
+    def __init__(self, spark: SparkSession, bits: int, part_bits: int, parts: list[tuple[int, bytes]]):
+        self.bits, self.size = bits, 1 << (bits - part_bits - 3)
         self.name = uuid.uuid4().hex
-        self.sent = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(bitmap.tobytes()))
+        self.sent = spark.sparkContext.broadcast(parts)
+
+    def unpacked(self) -> np.ndarray:
+        out, unpack = np.zeros(1 << (self.bits - 3), np.uint8), zstandard.ZstdDecompressor()
+        for part, data in self.sent.value:
+            out[part * self.size : (part + 1) * self.size] = np.frombuffer(unpack.decompress(data), np.uint8)
+        return out
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         bitmap = self._held.get(self.name)
         if bitmap is None:
             while len(self._held) >= 4:  # of an earlier job
                 del self._held[next(iter(self._held))]
-            bitmap = self._held[self.name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.sent.value), np.uint8)
+            bitmap = self._held[self.name] = self.unpacked()
         place = hashes >> U64(64 - self.bits)
         return (bitmap[(place >> U64(3)).astype(np.int64)] >> (np.uint8(7) - (place & U64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
@@ -274,7 +280,7 @@ def _hashes(length: int, gram: int, part_bits: int, shared, firsts):
 
 
 def _bits(part_bits: int, bits: int, least: int):
-    """The part's slice of the bitmap: places of hashes that came ``least`` times (1 or 2) or more."""
+    """The part's slice of the bitmap, compressed: places of hashes that came ``least`` times (1 or 2) or more."""
 
     def run(rows: pa.Table) -> pa.Table:
         every = np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in rows.column("hashes")])
@@ -283,7 +289,7 @@ def _bits(part_bits: int, bits: int, least: int):
             every = every[1:][every[1:] == every[:-1]]
         found = np.zeros(1 << (bits - part_bits), bool)
         found[every >> np.uint32(32 - bits + part_bits)] = True
-        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int64()), "bitmap": pa.array([np.packbits(found).tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int64()), "bitmap": pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(found).tobytes())], pa.binary())})
 
     return run
 
@@ -304,11 +310,8 @@ def part_bits_for(total: int, bits: int) -> int:
 def bitmap_of(hashes: DataFrame, part_bits: int, bits: int, least: int) -> Bitmap:
     """The leading ``bits`` of packed hashes that came ``least`` times or more."""
     slices = hashes.groupBy("part").applyInArrow(_bits(part_bits, bits, least), "part long, bitmap binary")
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    size = 1 << (bits - part_bits - 3)
-    for r in slices.collect():  # the bitmap's own size in all
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-    return Bitmap(hashes.sparkSession, out)
+    # the bitmap's own size in all at most
+    return Bitmap(hashes.sparkSession, bits, part_bits, [(r["part"], bytes(r["bitmap"])) for r in slices.collect()])
 
 
 def _stretch_keys(length: int, gram: int):
